@@ -5,6 +5,17 @@ from quillstone.llm.survivor import STAND_IN_WORDS
 _BLANK = r"[\s\x{A0}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 _WORDS = ", ".join(f"'{w}'" for w in STAND_IN_WORDS)
 
+_CODES = r"""
+WITH raw AS (
+  SELECT regexp_replace(application_number, '[\s\x{A0}]+', '', 'g') AS app, unnest(list_append(coalesce(ipcr_classification, []), primary_ipc)) AS c FROM patent_clean),
+flat AS (SELECT app, upper(regexp_replace(regexp_replace(c, '\([^)]*\)?', '', 'g'), '[\s\x{A0}]+', '', 'g')) AS c FROM raw WHERE app <> ''),
+codes AS (
+  SELECT app, CASE
+    WHEN regexp_full_match(c, '[A-HY][0-9]{2}[A-Z][0-9]{1,6}/[0-9]{2,6}') THEN concat(c[1:4], CAST(CAST(regexp_extract(c, '^.{4}([0-9]+)/', 1) AS INT) AS VARCHAR), '/', regexp_extract(c, '/(.*)$', 1))
+    WHEN regexp_full_match(c, '[A-HY][0-9]{2}[A-Z][0-9]{10}') THEN concat(c[1:4], CAST(CAST(c[5:8] AS INT) AS VARCHAR), '/', c[9:10], rtrim(c[11:14], '0')) END AS code
+  FROM flat),
+"""
+
 ORACLE: dict[str, str] = {
     "p2_found": rf"""
 WITH docs AS (
@@ -29,17 +40,12 @@ SELECT application_number,
        coalesce(arg_min(rec_id, o) FILTER (chars > 0), -1) AS abstract_rec, coalesce(arg_min(pos, o) FILTER (chars > 0), -1) AS abstract_pos
 FROM ordered GROUP BY 1 HAVING count(*) >= 2
 """,
-    "p5_found": r"""
-WITH raw AS (
-  SELECT regexp_replace(application_number, '[\s\x{A0}]+', '', 'g') AS app, unnest(list_append(coalesce(ipcr_classification, []), primary_ipc)) AS c FROM patent_clean),
-flat AS (SELECT app, upper(regexp_replace(regexp_replace(c, '\([^)]*\)?', '', 'g'), '[\s\x{A0}]+', '', 'g')) AS c FROM raw WHERE app <> ''),
-codes AS (
-  SELECT app, CASE
-    WHEN regexp_full_match(c, '[A-HY][0-9]{2}[A-Z][0-9]{1,6}/[0-9]{2,6}') THEN concat(c[1:4], CAST(CAST(regexp_extract(c, '^.{4}([0-9]+)/', 1) AS INT) AS VARCHAR), '/', regexp_extract(c, '/(.*)$', 1))
-    WHEN regexp_full_match(c, '[A-HY][0-9]{2}[A-Z][0-9]{10}') THEN concat(c[1:4], CAST(CAST(c[5:8] AS INT) AS VARCHAR), '/', c[9:10], rtrim(c[11:14], '0')) END AS code
-  FROM flat),
-counts AS (SELECT code, count(DISTINCT app) AS n FROM codes WHERE code IS NOT NULL GROUP BY 1),
+    "p5_found": _CODES + """counts AS (SELECT code, count(DISTINCT app) AS n FROM codes WHERE code IS NOT NULL GROUP BY 1),
 marks AS (SELECT code, CASE WHEN n <= 2 THEN 'rare' WHEN n >= 0.05 * (SELECT count(DISTINCT app) FROM flat) THEN 'common' END AS mark FROM counts)
 SELECT code, mark FROM marks WHERE mark IS NOT NULL
+""",
+    "p5_code_counts": _CODES + """
+counts AS (SELECT code, count(*) AS uses, count(DISTINCT app) AS applications FROM codes WHERE code IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN applications <= 2 THEN 'rare' WHEN applications >= 0.05 * (SELECT count(DISTINCT app) FROM flat) THEN 'common' END AS mark FROM counts
 """,
 }

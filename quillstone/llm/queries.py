@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import survivor, terms
+from quillstone.llm import quality, survivor, terms, tokens
 from quillstone.sources.tables import table
 
 
@@ -19,4 +19,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_codes(table(spark, d, "patent_clean")).filter("mark IS NOT NULL").select("code", "mark")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found}
+def p2_source_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Classification codes of each application judged true over its repeated records, records voting by their source.
+
+    A source is the kind of document a record ends in: the best ranked code among its published documents.
+    """
+    clean = table(spark, d, "patent_clean")
+    codes = F.transform(F.coalesce("published_documents", F.array().cast(clean.schema["published_documents"].dataType)), lambda p: F.upper(F.regexp_replace(p["document_type_code"], r"(?U)[^\p{L}\p{N}]+", "")))
+    source = F.coalesce(F.get(F.filter(F.array(*[F.lit(c) for c in survivor.RANKED_CODES]), lambda c: F.array_contains(codes, c)), F.lit(0)), F.lit("other"))
+    votes = clean.select(survivor.squeeze(F.col("application_number")).alias("entity"), F.explode("ipcr_classification").alias("raw"), source.alias("source")).filter("entity <> ''")
+    _, judged = survivor.source_quality(votes.select("entity", terms.canonical_code(F.col("raw")).alias("value"), "source"), [*survivor.RANKED_CODES, "other"])
+    return judged.filter("p_true >= 0.5").select(F.col("entity").alias("application_number"), F.col("value").alias("code"), F.round("p_true", 6).alias("p_true"))
+
+
+def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_budget(table(spark, d, "patent_text"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents")).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"))
+
+
+def p5_code_counts(spark: SparkSession, d: str) -> DataFrame:
+    return terms.marked_codes(table(spark, d, "patent_clean"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p5_found, p5_code_counts, p8_ids, p10_found, p10_statistics)}
