@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import quality, survivor, terms, tokens
+from quillstone.llm import leak, neardup, quality, survivor, terms, tokens
 from quillstone.sources.tables import table
 
 
@@ -52,4 +52,28 @@ def p5_code_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_codes(table(spark, d, "patent_clean"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p5_found, p5_code_counts, p8_ids, p10_found, p10_statistics)}
+def _near_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, d, "patent_text").filter((survivor.strip(F.col("abstract")) != "") & (survivor.strip(F.col("claim_1")) != ""))
+    return neardup.near_duplicates(texts, "text_id", F.concat_ws(" ", "abstract", "claim_1"), words=3, similarity=0.5)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.expand(*_near_texts(spark, d))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each text with its class of equal shingles and the number of other classes that are similar to it."""
+    members, links = _near_texts(spark, d)
+    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(degree, "class_id", "left").select(F.col("id").alias("text_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.verbatim(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_paraphrased(spark: SparkSession, d: str) -> DataFrame:
+    return leak.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p5_found, p5_code_counts, p6_found, p6_classes, p8_ids, p9_found, p9_paraphrased, p10_found, p10_statistics)}
