@@ -42,7 +42,7 @@ _COMMON = re.compile(r"(?<![^\s(\[\"'«„“‘-])[^\W\d_]{2,15}(?![^\s.,;:!?)\
 _BREAK = re.compile("\n")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _KANA = re.compile(r"[぀-ゟ]")
-_TOKEN = re.compile(r"[^\s|,;]{1,40}")
+_TOKEN = re.compile(r"(?<![^\s|,;])[^\s|,;]{1,40}")
 _NUMERIC = re.compile(r"[<>±~]?[+-]?\d+(?:[.:]\d+)*%?|n\.d\.|-+")
 _HEX = re.compile(r"[0-9a-f]{2}|[0-9a-f]{8}:?")
 _CODE = re.compile(r"\b[A-HY]\d\d[A-Z]\s{0,2}\d{1,4}\s?/\s?\d{2,6}\b")
@@ -51,6 +51,27 @@ _UNNATURAL = re.compile(r"[^aeiouyà-æè-öø-ý-]{4}|q[^u]|[jxz][b-df-hj-np-tv
 _SENTENCE_END = ".!?。！？;:,"
 _SPACE = np.array(sorted({ord(c) for c in map(chr, range(0x3001)) if c.isspace()} | {0x200B, 0xFEFF}), np.uint32)
 
+_IS_SPACE = np.zeros(65536, bool)
+_IS_SPACE[_SPACE] = True
+
+
+class _Memo(dict):
+    """What is known of tokens seen before, up to a number of them."""
+
+    def __init__(self, find) -> None:
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) > 200_000:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
+
+
+_CELL = _Memo(lambda t: (_NUMERIC.fullmatch(t) is not None) + (1 << 32) * (_HEX.fullmatch(t) is not None))
+_LENGTH = _Memo(lambda w: 0 if _UNNATURAL.search(w.lower()) else len(w))
+_HOLDS = _Memo(lambda w: w.lower() in COMMON_WORDS)
+
 COUNTS = ["chars", "prose_chars", "words", "letters", "symbols", "lines", "ended_lines", "common", "tokens", "numeric", "hex", "natural_chars", "code_chars"]
 
 
@@ -62,7 +83,7 @@ def measure(window: str, start: int, stop: int, last: bool) -> list[int]:
     whole = start == 0 and stop == len(window)
     texts = lambda r: r.findall(window) if whole else [m.group() for m in r.finditer(window) if inside(m)]
     code = np.frombuffer(window.encode("utf-32-le", "replace"), np.uint32)
-    solid = ~np.isin(code, _SPACE)
+    solid = ~_IS_SPACE[np.minimum(code, 65535)]
     # The fourth and later of equal characters in a row don't count.
     if len(code) > 3:
         same = code[1:] == code[:-1]
@@ -70,7 +91,7 @@ def measure(window: str, start: int, stop: int, last: bool) -> list[int]:
     near = bytearray(len(window))
     common = 0
     for m in _COMMON.finditer(window):
-        if m.group().lower() in COMMON_WORDS:
+        if _HOLDS[m.group()]:
             common += whole or inside(m)
             a, b = max(0, m.start() - REACH), m.end() + REACH
             near[a:b] = b"\1" * (min(b, len(near)) - a)
@@ -87,9 +108,11 @@ def measure(window: str, start: int, stop: int, last: bool) -> list[int]:
         lines += 1
         ended += before[-1:] in _SENTENCE_END and before != ""
     tokens = texts(_TOKEN)
-    numeric = sum(map(bool, map(_NUMERIC.fullmatch, tokens)))
-    hexes = sum(map(bool, map(_HEX.fullmatch, tokens)))
-    natural = sum(len(w) for m in _NATURAL.finditer(window) if whole or inside(m) for w in m.groups() if w and not _UNNATURAL.search(w.lower()))
+    hexes, numeric = divmod(sum(map(_CELL.__getitem__, tokens)), 1 << 32)
+    if whole:
+        natural = sum(_LENGTH[a] + (_LENGTH[b] if b else 0) for a, b in _NATURAL.findall(window))
+    else:
+        natural = sum(_LENGTH[w] for m in _NATURAL.finditer(window) if inside(m) for w in m.groups() if w)
     codes = sum(map(len, texts(_CODE)))
     return [solids, int(prose[start:stop].sum()), len(texts(_WORD)), letters, len(_SYMBOL.findall(core)), lines, ended, common, len(tokens), numeric, hexes, natural, codes]
 

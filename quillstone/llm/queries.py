@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import leak, neardup, quality, survivor, terms, tokens
+from quillstone.llm import defects, leak, neardup, quality, survivor, terms, tokens
 from quillstone.sources.tables import table
 
 
@@ -48,6 +48,10 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, d, "instructions"), table(spark, d, "documents").select("text", "lang"))
+
+
 def p5_code_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_codes(table(spark, d, "patent_clean"))
 
@@ -76,4 +80,4 @@ def p9_paraphrased(spark: SparkSession, d: str) -> DataFrame:
     return leak.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p5_found, p5_code_counts, p6_found, p6_classes, p8_ids, p9_found, p9_paraphrased, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p4_found, p5_found, p5_code_counts, p6_found, p6_classes, p8_ids, p9_found, p9_paraphrased, p10_found, p10_statistics)}
