@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import defects, leak, neardup, quality, survivor, terms, tokens
+from quillstone.llm import defects, leak, neardup, quality, scans, survivor, terms, tokens
 from quillstone.sources.tables import table
 
 
@@ -36,6 +36,19 @@ def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(table(spark, d, "patent_text"))
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "patent_text")
+    return scans.scan_noise(table(spark, d, "claims_scans"), [(texts, "claims_text"), (texts, "abstract")])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("scan_id", F.explode("kinds").alias("noise"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("scan_id", F.col("repaired").alias("claims_text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -80,4 +93,4 @@ def p9_paraphrased(spark: SparkSession, d: str) -> DataFrame:
     return leak.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p4_found, p5_found, p5_code_counts, p6_found, p6_classes, p8_ids, p9_found, p9_paraphrased, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_source_quality, p3_token_budget, p4_found, p5_found, p5_code_counts, p6_found, p6_classes, p7_found, p7_repaired, p8_ids, p9_found, p9_paraphrased, p10_found, p10_statistics)}
