@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import spread
@@ -121,20 +121,16 @@ class LanguageModel:
 
 
 def train_languages(labelled: DataFrame, per_language: int = 1500, least: int = 20) -> LanguageModel:
-    """From (text, lang): at most ``per_language`` texts a language (those of least hash; the documented bound of the fit).
+    """From (text, lang): about ``per_language`` texts a language, chosen by their hash where they lie (the documented bound of the fit).
 
     lang counts by its primary subtag; a language of fewer than ``least`` texts is left out.  Counts are summed by
     Spark; the driver gets one row per language and n-gram bucket.
     """
     lang = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})(?:[-_].*)?$", 1)
-    order = Window.partitionBy("lang").orderBy("h")
-    some = (
-        labelled.filter("text IS NOT NULL AND length(trim(text)) >= 40")
-        .select(lang.alias("lang"), "text", F.xxhash64("text").alias("h"))
-        .filter("lang <> ''")
-        .withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= per_language)
-    )
+    usable = labelled.filter("text IS NOT NULL AND length(trim(text)) >= 40").select(lang.alias("lang"), "text").filter("lang <> ''")
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]) if sizes else F.create_map()
+    some = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part[F.col("lang")].cast("double") * (1 << 30))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
