@@ -16,7 +16,7 @@ REQUIRED = ["task", "application_number", "instruction", "input", "output", "met
 
 def schema_failures(v: Column, expected_task: Column | None = None) -> Column:
     """Failures of a record given as VARIANT: missing members end the check; blank texts, another task, a meta that is no object."""
-    there = {k: F.is_variant_null(F.try_variant_get(v, f"$.{k}", "variant")).isNotNull() for k in REQUIRED}
+    there = {k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in REQUIRED}
     missing = F.array_compact(F.array(*[F.when(~there[k], f"missing_key:{k}") for k in REQUIRED]))
     kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
     text = lambda k: F.try_variant_get(v, f"$.{k}", "string")

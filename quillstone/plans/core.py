@@ -171,7 +171,7 @@ def parse_claims_roundtrip(spark, d):
     body = lambda c: F.regexp_replace(F.regexp_replace(text.collapse(text.present(c)), r"^\d+\.\s*", ""), r"\.$", "")
     plain = F.filter(F.transform(F.coalesce("p.claims", F.array().cast("array<string>")), body), lambda c: c.rlike(r"^[A-Z][A-Za-z0-9 ,;:-]{30,}[a-z]$") & ~c.rlike(r"(?i)claims|what is claimed|\d-|-\d"))
     numbered = F.array_join(F.transform(plain, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c, F.lit("."))), " ")
-    return docs.select("rec_id", "pos", plain.alias("plain"), text.parse_claims(numbered).alias("r")).select("rec_id", "pos", F.size("plain").cast("long").alias("claims"), F.size("r.claims").cast("long").alias("parsed"), F.array_join("r.claims", "\n").alias("text"))
+    return docs.select("rec_id", F.col("pos").cast("long").alias("pos"), plain.alias("plain"), text.parse_claims(numbered).alias("r")).select("rec_id", "pos", F.size("plain").cast("long").alias("claims"), F.size("r.claims").cast("long").alias("parsed"), F.array_join("r.claims", "\n").alias("text"))
 
 
 @query

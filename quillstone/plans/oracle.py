@@ -51,8 +51,8 @@ SELECT *, CASE WHEN k = 1 THEN NULL WHEN s BETWEEN 1 AND 5 THEN s END AS score,
   CASE WHEN k = 1 OR s NOT BETWEEN 1 AND 5 THEN NULL WHEN k = 0 THEN 'short,off_topic' ELSE 'strict' END AS tags
 FROM (SELECT row_id, lower(task) AS task, row_id % 3 AS k, row_id % 7 AS s FROM instructions)"""
 _REPORT = f"""
-SELECT task, count(score) AS judged, count(*) - count(score) AS errors, coalesce(sum(score), 0)::BIGINT AS score_sum, count_if(pass) AS passed,
-  round(sum(score) / count(score), 6) AS mean_score, round(count_if(pass) / count(score), 6) AS pass_rate FROM ({_VERDICTS}) GROUP BY 1"""
+SELECT task, count(score) AS judged, count(*) - count(score) AS errors, coalesce(sum(score), 0)::BIGINT AS score_sum, count(*) FILTER (pass) AS passed,
+  round(sum(score) / nullif(count(score), 0), 6) AS mean_score, round(count(*) FILTER (pass) / nullif(count(score), 0), 6) AS pass_rate FROM ({_VERDICTS}) GROUP BY 1"""
 _NUMBER = f"CASE WHEN {_STRIP('application_number')} <> '' THEN {_STRIP('application_number')} ELSE NULL END"
 
 
@@ -68,7 +68,7 @@ ORACLE: dict[str, str] = {
     "label_counts_top40": f"{_COUNTS} ORDER BY n DESC, code LIMIT 40",
     "label_freq_of_freq": f"SELECT n, count(*) AS codes FROM ({_COUNTS}) GROUP BY 1",
     "label_tail_summary": f"""
-WITH t AS (SELECT count(*) AS codes, count_if(n = 1) AS ones, count_if(n <= 5) AS few, coalesce(sum(n), 0) AS uses FROM ({_COUNTS}))
+WITH t AS (SELECT count(*) AS codes, count(*) FILTER (n = 1) AS ones, count(*) FILTER (n <= 5) AS few, coalesce(sum(n), 0) AS uses FROM ({_COUNTS}))
 SELECT unnest(['unique_codes', 'singleton_codes', 'singleton_pct', 'few_codes', 'few_pct', 'assignments', 'singleton_assignments', 'singleton_assignments_pct']) AS metric,
        unnest([codes, ones, round(100.0 * ones / codes, 4), few, round(100.0 * few / codes, 4), uses, ones, round(100.0 * ones / uses, 4)]::DOUBLE[]) AS value FROM t""",
     "prefix_subset_counts": f"""
@@ -86,7 +86,7 @@ FROM (SELECT least(floor((n_chars - low) / ((high - low) / bins)), bins - 1)::BI
 WITH k AS ({_clip(_METRICS, ['n_claims', 'abstract_chars'])}), e AS (SELECT min(n_claims) AS xl, max(n_claims) AS xh, min(abstract_chars) AS yl, max(abstract_chars) AS yh FROM k)
 SELECT least(floor((n_claims - xl) / ((xh - xl) / 20)), 19)::BIGINT AS x_bin, least(floor((abstract_chars - yl) / ((yh - yl) / 20)), 19)::BIGINT AS y_bin, count(*) AS n FROM k, e GROUP BY 1, 2""",
     "corpus_summary": """
-SELECT count(*) AS records, round(sum(d) / count(*), 4) AS documents_per_record, round(sum(c) / sum(d), 4) AS claims_chars_per_document, round(sum(a) / sum(d), 4) AS abstract_chars_per_document, count_if(d > 0) AS with_documents, count_if(coded) AS with_codes
+SELECT count(*) AS records, round(sum(d) / count(*), 4) AS documents_per_record, round(sum(c) / sum(d), 4) AS claims_chars_per_document, round(sum(a) / sum(d), 4) AS abstract_chars_per_document, count(*) FILTER (d > 0) AS with_documents, count(*) FILTER (coded) AS with_codes
 FROM (SELECT coalesce(len(published_documents), 0) AS d, coalesce(list_sum(list_transform(published_documents, lambda x: coalesce(length(array_to_string(x.claims, '')), 0))), 0) AS c,
   coalesce(list_sum(list_transform(published_documents, lambda x: coalesce(length(x.abstract), 0))), 0) AS a, ipcr_classification IS NOT NULL AS coded FROM patent_clean)""",
     "clean_record_fields": rf"""
@@ -140,7 +140,7 @@ SELECT DISTINCT ipc_code_raw, CASE WHEN length(ipc_code_raw) = 14 AND TRY_CAST(i
     "token_f1": f"SELECT row_id, round({_F1}, 6)::DOUBLE AS token_f1 FROM instructions",
     "answer_contained": f"SELECT row_id, {_CONTAINED} AS contained FROM instructions",
     "validate_records": f"SELECT row_id, len(rules) = 0 AS passed, array_to_string(rules, ',') AS failed_rules FROM ({_RULES})",
-    "validate_report": f"SELECT task, count(*) AS total, count_if(len(rules) = 0) AS passed, count_if(len(rules) > 0) AS rejected, round(avg(CASE WHEN task = 'mrc' THEN {_F1} END), 6)::DOUBLE AS mean_token_f1 FROM ({_RULES}) GROUP BY 1",
+    "validate_report": f"SELECT task, count(*) AS total, count(*) FILTER (len(rules) = 0) AS passed, count(*) FILTER (len(rules) > 0) AS rejected, round(avg(CASE WHEN task = 'mrc' THEN {_F1} END), 6)::DOUBLE AS mean_token_f1 FROM ({_RULES}) GROUP BY 1",
     "validate_rule_counts": f"SELECT task, rule, count(*) AS n FROM (SELECT task, unnest(rules) AS rule FROM ({_RULES})) GROUP BY 1, 2",
     "judge_verdicts": f"SELECT row_id, score, pass, tags FROM ({_VERDICTS})",
     "judge_report": _REPORT,

@@ -68,7 +68,7 @@ def next_shard(shards: DataFrame) -> DataFrame:
 
 def field(v: Column, path: str) -> Column:
     """A member as text; empty where it is missing or null, JSON text where it is no scalar."""
-    return F.coalesce(F.try_variant_get(v, path, "string"), F.to_json(F.try_variant_get(v, path, "variant")), F.lit(""))
+    return F.coalesce(F.try_variant_get(v, path, "string"), F.nullif(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("null")), F.lit(""))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
