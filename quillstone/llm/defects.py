@@ -129,7 +129,9 @@ def train_languages(labelled: DataFrame, per_language: int = 1500, least: int =
     lang = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})(?:[-_].*)?$", 1)
     usable = labelled.filter("text IS NOT NULL AND length(trim(text)) >= 40").select(lang.alias("lang"), "text").filter("lang <> ''")
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]) if sizes else F.create_map()
+    if not sizes:
+        return LanguageModel(["und"], np.zeros((1, 1 << GRAM_BITS)))
+    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     some = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part[F.col("lang")].cast("double") * (1 << 30))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

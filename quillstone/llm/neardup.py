@@ -134,7 +134,7 @@ def fingerprints(df: DataFrame, id_col: str, text: Column, words: int) -> DataFr
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "set_key", "shingles"])
 
-    return spread(df.select(F.col(id_col).alias("id"), text.alias("text"))).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, set_key string, shingles array<long>")
+    return spread(df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text IS NOT NULL")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, set_key string, shingles array<long>")
 
 
 def bands(sets: DataFrame, count: int, rows: int, seed: int = 11) -> DataFrame:
