@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import ipc, overlap, text, wordpiece
-from quillstone.operators import classify, dewey, instruct, judge, records, relate, stats, validate
+from quillstone.operators import classify, dewey, evaluate, instruct, judge, records, relate, stats, validate
 from quillstone.plans.oracle import ORACLE
 from quillstone.sinks import prediction_line
 from quillstone.sources.jsonl import json_objects
@@ -340,6 +340,32 @@ def validate_rule_counts(spark, d):
     return v.select("task", F.explode("validation.failed_rules").alias("rule")).groupBy("task", "rule").agg(F.count("*").alias("n"))
 
 
+@query
+def ipc_accuracy_levels(spark, d):
+    i = table(spark, d, "instructions").filter("lower(task) = 'ipc_reasoning'")
+    return evaluate.hierarchy_accuracy(i, F.col("meta.primary_ipc"), ipc.answer_code(F.col("output")))
+
+
+@query
+def bigram_f1(spark, d):
+    return table(spark, d, "instructions").select("row_id", F.round(evaluate.ngram_f1(F.col("input"), F.col("output"), 2), 6).alias("bigram_f1"))
+
+
+@query
+def application_split(spark, d):
+    """Rows of each part; no application is in two parts."""
+    parts = [("train", 0.8), ("dev", 0.1), ("test", 0.1)]
+    return table(spark, d, "instructions").select("row_id", evaluate.split_of(F.col("application_number"), parts).alias("part"))
+
+
+@query
+def verdict_kappa(spark, d):
+    """Agreement of the rules' verdict with the made-up judge's."""
+    rules = validate.validate(table(spark, d, "instructions"), rouge=False).select("row_id", F.col("validation.passed").alias("rule"))
+    v = judge.verdict(F.col("reply"))
+    return evaluate.kappa(rules.join(_replies(spark, d).select("row_id", v["pass"].alias("judge")), "row_id"), "rule", "judge")
+
+
 # Judging
 
 

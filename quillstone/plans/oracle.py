@@ -142,6 +142,23 @@ SELECT DISTINCT ipc_code_raw, CASE WHEN length(ipc_code_raw) = 14 AND TRY_CAST(i
     "validate_records": f"SELECT row_id, len(rules) = 0 AS passed, array_to_string(rules, ',') AS failed_rules FROM ({_RULES})",
     "validate_report": f"SELECT task, count(*) AS total, count(*) FILTER (len(rules) = 0) AS passed, count(*) FILTER (len(rules) > 0) AS rejected, round(avg(CASE WHEN task = 'mrc' THEN {_F1} END), 6)::DOUBLE AS mean_token_f1 FROM ({_RULES}) GROUP BY 1",
     "validate_rule_counts": f"SELECT task, rule, count(*) AS n FROM (SELECT task, unnest(rules) AS rule FROM ({_RULES})) GROUP BY 1, 2",
+    "ipc_accuracy_levels": rf"""
+WITH p AS (SELECT nullif({_IPC('meta.primary_ipc')}, '') AS t, {_ANS_CODE} AS g FROM instructions WHERE lower(task) = 'ipc_reasoning'),
+l AS (SELECT t, g, [t[1:1], CASE WHEN length(t) >= 3 THEN t[1:3] END, CASE WHEN length(t) >= 4 THEN t[1:4] END, CASE WHEN contains(t, '/') THEN split_part(t, '/', 1) END, t] AS a,
+  [g[1:1], CASE WHEN length(g) >= 3 THEN g[1:3] END, CASE WHEN length(g) >= 4 THEN g[1:4] END, CASE WHEN contains(g, '/') THEN split_part(g, '/', 1) END, g] AS b FROM p WHERE t IS NOT NULL)
+SELECT count(*) AS rows, round(avg(coalesce(regexp_full_match(g, '{_SYMBOL}'), false)::INT), 6) AS well_formed, round(avg(coalesce(a[1] = b[1], false)::INT), 6) AS section_accuracy, round(avg(coalesce(a[2] = b[2], false)::INT), 6) AS class_accuracy,
+  round(avg(coalesce(a[3] = b[3], false)::INT), 6) AS subclass_accuracy, round(avg(coalesce(a[4] = b[4], false)::INT), 6) AS group_accuracy, round(avg(coalesce(a[5] = b[5], false)::INT), 6) AS full_accuracy FROM l""",
+    "bigram_f1": f"""
+WITH w AS (SELECT row_id, {_TOKENS('input')} AS a, {_TOKENS('output')} AS b FROM instructions),
+g AS (SELECT row_id, CASE WHEN len(a) >= 2 AND len(b) >= 2 THEN list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END AS a, CASE WHEN len(a) >= 2 AND len(b) >= 2 THEN list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]) END AS b FROM w)
+SELECT row_id, CASE WHEN a IS NULL THEN 0.0 ELSE round(2.0 * coalesce(list_sum(list_transform(list_intersect(list_distinct(a), list_distinct(b)), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) / (len(a) + len(b)), 6) END::DOUBLE AS bigram_f1 FROM g""",
+    "application_split": """
+SELECT row_id, CASE WHEN application_number IS NULL THEN NULL WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS part
+FROM (SELECT row_id, application_number, CAST('0x' || substr(md5('42:' || application_number), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM instructions)""",
+    "verdict_kappa": f"""
+WITH j AS (SELECT r.rule, v.pass FROM (SELECT row_id, len(rules) = 0 AS rule FROM ({_RULES})) r JOIN ({_VERDICTS}) v ON r.row_id = v.row_id WHERE v.pass IS NOT NULL),
+t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE rule = pass) AS same, count(*) FILTER (WHERE rule) AS r, count(*) FILTER (WHERE pass) AS p FROM j)
+SELECT n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n - (r * p + (n - r) * (n - p)) / (n * n)) / (1 - (r * p + (n - r) * (n - p)) / (n * n)), 6) AS kappa FROM t""",
     "judge_verdicts": f"SELECT row_id, score, pass, tags FROM ({_VERDICTS})",
     "judge_report": _REPORT,
     "judge_report_merged": _REPORT,
