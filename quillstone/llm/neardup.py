@@ -114,65 +114,54 @@ def within(sketches: np.ndarray, left: np.ndarray, right: np.ndarray, radius: np
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str, text: Column, words: int) -> DataFrame:
-    """(id, set_key, shingles) of each text with at least one shingle."""
+def band_keys(flat: np.ndarray, starts: np.ndarray, count: int, rows: int, seed: int = 11) -> np.ndarray:
+    """(sets, count) keys: for each band of ``rows`` min-hashes one number. Sets lie one after the other in ``flat``."""
+    rng = np.random.default_rng(seed)
+    mul = rng.integers(1, 2**63, count * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    salt = rng.integers(0, 2**63, count * rows, np.uint64)
+    keys = np.empty((len(starts), count), np.uint64)
+    for c in range(count):
+        key = np.full(len(starts), c, np.uint64)
+        for r in range(c * rows, (c + 1) * rows):
+            h = (flat ^ salt[r]) * mul[r]
+            h ^= h >> np.uint64(32)
+            key = _mix(key * np.uint64(_MULTIPLIERS[0]) + np.minimum.reduceat(h, starts))
+        keys[:, c] = key
+    return keys
+
+
+def fingerprints(df: DataFrame, id_col: str, text: Column, words: int, count: int, rows: int) -> DataFrame:
+    """(id, set_key, n, sketch, bands, shingles) of each text with at least one shingle: all that is needed of it later."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = Shingler(words)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, 400):
+                part = b.slice(lo, 400)
                 sets = [shingler(t) for t in part.column(1).to_pylist()]
                 keep = [i for i, s in enumerate(sets) if len(s)]
                 if not keep:
                     continue
                 sets = [sets[i] for i in keep]
-                keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "set_key", "shingles"])
-
-    return spread(df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text IS NOT NULL")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, set_key string, shingles array<long>")
-
-
-def bands(sets: DataFrame, count: int, rows: int, seed: int = 11) -> DataFrame:
-    """(band, id): one key for each of ``count`` bands of ``rows`` min-hashes."""
-    rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, count * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = rng.integers(0, 2**63, count * rows, np.uint64)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part = b.slice(lo, 400)
-                lists = part.column(1)
-                flat = lists.flatten().to_numpy().view(np.uint64)
-                sizes = np.diff(lists.offsets.to_numpy())
-                starts = np.cumsum(sizes) - sizes
-                keys = np.empty((count, len(sizes)), np.uint64)
-                for c in range(count):
-                    key = np.full(len(sizes), c, np.uint64)
-                    for r in range(c * rows, (c + 1) * rows):
-                        h = (flat ^ salt[r]) * mul[r]
-                        h ^= h >> np.uint64(32)
-                        key = _mix(key * np.uint64(_MULTIPLIERS[0]) + np.minimum.reduceat(h, starts))
-                    keys[c] = key
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.reshape(-1).view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), count)))], names=["band", "id"])
-
-    return sets.select("id", "shingles").mapInArrow(run, f"band long, id {sets.schema['id'].dataType.simpleString()}")
-
-
-def sketched(sets: DataFrame) -> DataFrame:
-    """(id, n, sketch)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s.values.to_numpy().view(np.uint64) for s in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "sketch"])
-
-    return sets.select("id", "shingles").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, sketch binary")
+                sizes = np.array([len(s) for s in sets], np.int32)
+                offsets, flat = np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(sets)
+                keys = band_keys(flat, offsets[:-1], count, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(keep)),
+                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
+                        pa.array(sizes),
+                        pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
+                    ],
+                    names=["id", "set_key", "n", "sketch", "bands", "shingles"],
+                )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return spread(df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text IS NOT NULL")).mapInArrow(run, f"id {kind}, set_key string, n int, sketch binary, bands array<long>, shingles array<long>")
 
 
 def _bucket_pairs(similarity: float):
@@ -264,12 +253,12 @@ def _bucket_pairs(similarity: float):
     return run
 
 
-def similar_classes(sets: DataFrame, similarity: float, count: int, rows: int, part: int) -> DataFrame:
-    """(a, b), a < b: pairs of sets (id, shingles) of at least ``similarity`` that share a bucket, verified exactly."""
+def similar_classes(sets: DataFrame, similarity: float, part: int) -> DataFrame:
+    """(a, b), a < b: pairs of fingerprints of at least ``similarity`` that share a bucket, verified exactly."""
     kind = sets.schema["id"].dataType.simpleString()
-    posted = bands(sets, count, rows)
+    posted = sets.select(F.explode("bands").alias("band"), "id")
     full = posted.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-    rowed = posted.join(full, "band").join(sketched(sets), "id")
+    rowed = posted.join(full, "band").join(sets.select("id", "n", "sketch"), "id")
     # A bucket of more than ``part`` sets is cut into c parts; block (i, j) compares part i with part j, (i, i) with itself.
     c = F.ceil(F.col("m") / part).cast("int")
     own = F.pmod(F.xxhash64("id"), c).cast("int")
@@ -301,11 +290,11 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, si
     0.8, 1e-4 at 0.55 and 2e-3 at 0.5, so lower thresholds want fewer rows or more bands.  Texts that are null or
     shorter than a shingle are in no class.  Hot classes cost one comparison; hot buckets are cut into blocks.
     """
-    prints = stage(fingerprints(df, id_col, text, words))
+    prints = stage(fingerprints(df, id_col, text, words, count, rows))
     classes = prints.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = stage(prints.select("id", "set_key").join(classes, "set_key").select("id", "class_id"))
     heads = prints.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return members, similar_classes(heads, similarity, count, rows, part)
+    return members, similar_classes(heads, similarity, part)
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
