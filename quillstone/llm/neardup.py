@@ -269,7 +269,7 @@ def similar_classes(sets: DataFrame, similarity: float, part: int) -> DataFrame:
     )
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = blocks.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_bucket_pairs(similarity), f"a {kind}, b {kind}")
-    pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = sets.select("id", "shingles").join(wanted, "id", "left_semi")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -279,6 +279,7 @@ def similar_classes(sets: DataFrame, similarity: float, part: int) -> DataFrame:
         .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("all"))
         .filter(F.col("common") >= similarity * F.col("all"))
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -288,12 +289,12 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, si
     A class is a set of texts with the same shingles, named by its smallest id.  The filter is exact within buckets;
     two classes of similarity s miss each other with probability (1 - s^rows)^count: with the defaults 2e-10 at
     0.8, 1e-4 at 0.55 and 2e-3 at 0.5, so lower thresholds want fewer rows or more bands.  Texts that are null or
-    shorter than a shingle are in no class.  Hot classes cost one comparison; hot buckets are cut into blocks.
+    shorter than a shingle are in no class; repeated rows count once.  Hot classes cost one comparison; hot buckets are cut into blocks.
     """
     prints = stage(fingerprints(df, id_col, text, words, count, rows))
     classes = prints.groupBy("set_key").agg(F.min("id").alias("class_id"))
-    members = stage(prints.select("id", "set_key").join(classes, "set_key").select("id", "class_id"))
-    heads = prints.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    members = stage(prints.select("id", "set_key").join(classes, "set_key").select("id", "class_id").distinct())
+    heads = prints.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
     return members, similar_classes(heads, similarity, part)
 
 

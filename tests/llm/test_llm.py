@@ -247,7 +247,7 @@ def edited_texts(seed=5, groups=25):
 def test_near_duplicates_equal_brute_force(spark, part):
     texts = edited_texts()
     texts |= {900: texts[0], 901: texts[0].upper(), 902: "too short", 903: ""}
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(904, None, 1)], "text_id long, t string, a int")
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(904, None, 1), (3, texts[3], 2), (0, texts[0], 2)], "text_id long, t string, a int")
     members, links = neardup.near_duplicates(df, "text_id", F.col("t"), words=3, similarity=0.5, part=part)
     assert rows(neardup.expand(members, links)) == sorted(near_truth(texts, 3, 0.5), key=repr)
     assert members.filter("id = class_id").count() + 2 <= members.count()
