@@ -16,6 +16,11 @@ MIN_CLAIM_CHARS, MIN_LETTER_SHARE = 20, 0.35
 _START, _NUMBER_END = "\u0001", "\u0002"
 
 
+def let(value: Column, make) -> Column:
+    """make(value) with the value computed once, however often it is used: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, of any kind (SQL's trim knows blanks only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -99,9 +104,9 @@ def _claims_at(text: Column, pattern: str, lead: str | None = None) -> Column:
 
 def contiguous_prefix(items: Column, number) -> Column:
     """The longest beginning whose numbers are 1, 2, 3 and so on."""
-    follows = F.transform(items, lambda x, i: F.coalesce(number(x) == i + 1, F.lit(False)))
-    gap = F.array_position(follows, False)
-    return F.slice(items, 1, F.coalesce(F.nullif(gap, F.lit(0)) - 1, F.size(items).cast("long")).cast("int"))
+    follows = lambda xs: F.transform(xs, lambda x, i: F.coalesce(number(x) == i + 1, F.lit(False)))
+    size = lambda xs: let(F.array_position(follows(xs), False), lambda gap: F.when(gap > 0, gap - 1).otherwise(F.size(xs).cast("long")))
+    return let(items, lambda xs: F.slice(xs, F.lit(1), size(xs).cast("int")))
 
 
 def parse_claims(c: Column) -> Column:
@@ -111,9 +116,8 @@ def parse_claims(c: Column) -> Column:
     letters are dropped, and what is left counts up to the first gap in the numbers.  ok: there is a claim 1.
     Null and blank texts give no claims.
     """
-    text = normalized_claims_text(c)
-    dotted = _claims_at(text, rf"(?U){CLAIM_START}")
-    bracketed = _claims_at(text, rf"(?iU){CLAIM_BRACKET}", r"(?U)^[\s:\-–—]+")
-    found = F.when(F.size(dotted) > 0, dotted).otherwise(bracketed)
-    kept = contiguous_prefix(found, lambda x: x["n"].cast("int"))
-    return F.struct(F.transform(kept, lambda x: F.concat(x["n"], F.lit(". "), x["body"])).alias("claims"), (F.size(kept) > 0).alias("ok"))
+    dotted = lambda t: _claims_at(t, rf"(?U){CLAIM_START}")
+    bracketed = lambda t: _claims_at(t, rf"(?iU){CLAIM_BRACKET}", r"(?U)^[\s:\-–—]+")
+    found = lambda t: let(dotted(t), lambda d: F.when(F.size(d) > 0, d).otherwise(bracketed(t)))
+    written = lambda kept: F.struct(F.transform(kept, lambda x: F.concat(x["n"], F.lit(". "), x["body"])).alias("claims"), (F.size(kept) > 0).alias("ok"))
+    return let(normalized_claims_text(c), lambda t: let(contiguous_prefix(found(t), lambda x: x["n"].cast("int")), written))

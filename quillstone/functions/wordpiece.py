@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
+
+
 def _cjk(cp: int) -> bool:
     # The blocks of CJK ideographs.
     blocks = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
@@ -74,12 +78,15 @@ class WordPiece:
 
             def split(text):
                 out = []
-                for w in basic_tokens(text, lower):
-                    p = known.get(w)
+                # Control characters are dropped, not blanks: a text that has some is taken in one piece.
+                for chunk in [text] if text and CONTROL.search(text) else (text or "").split():
+                    p = known.get(chunk)
                     if p is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        p = known[w] = wordpieces(w, vocab)
+                        p = [x for w in basic_tokens(chunk, lower) for x in wordpieces(w, vocab)]
+                        if len(chunk) < 100:
+                            if len(known) > 200_000:
+                                known.clear()
+                            known[chunk] = p
                     out += p
                 return out
 

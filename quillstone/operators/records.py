@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import first_claim, is_blank, join_claims, parse_claims, present, strip
+from quillstone.functions.text import first_claim, is_blank, join_claims, let, parse_claims, present, strip
 from quillstone.sources.jsonl import field
 
 #: What a document type is worth as the primary document; any other type is worth 0.
@@ -60,13 +60,15 @@ def codes(v: Column, path: str) -> tuple[Column, Column]:
 
 
 def document(v: Column) -> Column:
-    parsed = parse_claims(_text_only(v, "$.claimsText"))
-    return F.struct(
-        field(v, "$.documentTypeCode").alias("document_type_code"),
-        field(v, "$.fileName").alias("file_name"),
-        strip(_text_only(v, "$.abstractText")).alias("abstract"),
-        parsed["claims"].alias("claims"),
-        parsed["ok"].alias("claims_parse_ok"),
+    return let(
+        parse_claims(_text_only(v, "$.claimsText")),
+        lambda parsed: F.struct(
+            field(v, "$.documentTypeCode").alias("document_type_code"),
+            field(v, "$.fileName").alias("file_name"),
+            strip(_text_only(v, "$.abstractText")).alias("abstract"),
+            parsed["claims"].alias("claims"),
+            parsed["ok"].alias("claims_parse_ok"),
+        ),
     )
 
 
