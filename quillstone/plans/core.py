@@ -405,7 +405,7 @@ def judge_tags(spark, d):
 
 @query
 def judge_payload(spark, d):
-    return table(spark, d, "instructions").select("row_id", judge.payload(400).alias("payload"))
+    return table(spark, d, "instructions").select("row_id", judge.payload().alias("payload"))
 
 
 # Vectors and predictions
