@@ -152,3 +152,35 @@ def child_objects(df: DataFrame, id_col: str = "rec_id", json_col: str = "respon
     nodes = shred(df, id_col, json_col, list(by_path)).filter("kind = 'object' AND members > 0")
     name = F.create_map(*[F.lit(x) for p, (n, _) in by_path.items() for x in (p, n)])
     return nodes.select(F.col(id_col), name[F.col("path")].alias("node"), F.when(F.col("path").endswith("[]"), place(F.col("label"))).otherwise(0).cast("long").alias("pos"))
+
+
+#: Scalar fields of the child objects, and of the records by their path below the root.
+FIELDS = {
+    "applicant": ["legalEntityName"],
+    "inventors": ["legalEntityName"],
+    "publishedDocuments": ["documentTypeCode", "fileName", "abstractText", "claimsText"],
+    "inventionTitle": ["title", "language"],
+    "ipcrClassification": ["classificationText", "sequenceNumber"],
+}
+RECORD = ["ipRightStatusCode", "filedDate", "priorityDate", "expiryDate", "bibliographicData.applicationNumber", "bibliographicData.patentApplicationType"]
+
+
+def child_table(df: DataFrame, node: str, id_col: str = "rec_id", json_col: str = "response") -> DataFrame:
+    """The flat table of a child node's objects, empty ones too: id, label, parent, pos and its scalar fields.
+
+    A field that holds an object itself counts as an array of it: pos 0, and its parent is the object it is in.
+    """
+    bare = CHILDREN[node]
+    nodes = shred(df, id_col, json_col, [f"{p}{f}" for p in (bare, f"{bare}[]") for f in ("", *[f".{x}" for x in FIELDS[node]])])
+    inside = F.substr("path", F.lit(len(bare) + 1))
+    as_element = F.when(inside.startswith("[]"), F.col("path")).otherwise(F.concat(F.lit(f"{bare}[]"), inside))
+    table = node_table(nodes.withColumn("path", as_element), id_col, f"{bare}[]", FIELDS[node])
+    return table.withColumn("pos", F.when(F.size("label") > bare.count("."), F.col("pos")).otherwise(0))
+
+
+def record_table(df: DataFrame, id_col: str = "rec_id", json_col: str = "response") -> DataFrame:
+    """The flat table of the records that hold a JSON object: id and scalar fields, those of bibliographicData included."""
+    leaf = {f"$.{f}": f.rpartition(".")[2] for f in RECORD}
+    nodes = shred(df, id_col, json_col, ["$", *leaf])
+    value = F.when(F.col("kind").isin("string", "number", "boolean"), F.col("value"))
+    return nodes.groupBy(id_col).agg(*[F.max(F.when(F.col("path") == p, value)).alias(f) for p, f in leaf.items()])

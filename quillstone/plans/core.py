@@ -42,12 +42,40 @@ def p1_found(spark, d):
     return dewey.child_objects(table(spark, d, "patent_search"))
 
 
+def _child_table(spark, d, node):
+    """The flat table of a node with the labels that link it to its record, as text."""
+    t = dewey.child_table(table(spark, d, "patent_search"), node)
+    return t.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ".") for c in ("label", "parent")})
+
+
+@query
+def p1_records(spark, d):
+    return dewey.record_table(table(spark, d, "patent_search"))
+
+
 @query
 def p1_published_documents(spark, d):
-    """The flat table of published documents with the labels that link it to its record."""
-    paths = ["$.publishedDocuments[]", *[f"$.publishedDocuments[].{f}" for f in ("documentTypeCode", "fileName")]]
-    nodes = dewey.shred(table(spark, d, "patent_search"), "rec_id", "response", paths)
-    return dewey.node_table(nodes, "rec_id", paths[0], ["documentTypeCode", "fileName"]).select("rec_id", F.array_join(F.col("label").cast("array<string>"), ".").alias("label"), F.array_join(F.col("parent").cast("array<string>"), ".").alias("parent"), "pos", "documentTypeCode", "fileName")
+    return _child_table(spark, d, "publishedDocuments")
+
+
+@query
+def p1_applicant(spark, d):
+    return _child_table(spark, d, "applicant")
+
+
+@query
+def p1_inventors(spark, d):
+    return _child_table(spark, d, "inventors")
+
+
+@query
+def p1_invention_title(spark, d):
+    return _child_table(spark, d, "inventionTitle")
+
+
+@query
+def p1_ipcr_classification(spark, d):
+    return _child_table(spark, d, "ipcrClassification")
 
 
 @query

@@ -17,3 +17,28 @@ def test_judge_payload_cuts_no_text_the_reference_keeps(spark, tmp_path):
     got = json.loads(run(spark, tmp_path, "judge_payload", "instructions", [(1, "mrc", "A", *texts, None)], INSTRUCTION).first().payload)
     assert got["instruction"] == texts[0] and got["input"] == texts[1]
     assert got["output"] == "y" * 11_980 + "\n…[truncated]…"
+
+
+SEARCH = "rec_id long, response string"
+
+
+def test_child_tables_hold_bare_objects_and_all_fields(spark, tmp_path):
+    doc = {"documentTypeCode": "B2", "fileName": "f.pdf", "abstractText": "An abstract.", "claimsText": "1. A pump."}
+    named = {"legalEntityName": "N"}
+    rest = {"inventionTitle": {"title": "T", "language": "en"}, "ipcrClassification": {"classificationText": "A01B 1/02", "sequenceNumber": 1}}
+    bare = {"publishedDocuments": doc, "applicant": named, "inventors": named, "bibliographicData": rest}
+    listed = {"publishedDocuments": ["x", doc, {}], "bibliographicData": {"inventionTitle": [{"title": None}]}}
+    rows = [(1, json.dumps(bare)), (2, json.dumps(json.dumps(listed))), (3, "{"), (4, '{"publishedDocuments": "x"}')]
+    of = lambda q: sorted(tuple(r) for r in run(spark, tmp_path, q, "patent_search", rows, SEARCH).collect())
+    texts = ("B2", "f.pdf", "An abstract.", "1. A pump.")
+    assert of("p1_published_documents") == [(1, "0", "", 0, *texts), (2, "0.1", "0", 1, *texts), (2, "0.2", "0", 2, None, None, None, None)]
+    assert of("p1_applicant") == [(1, "1", "", 0, "N")] and of("p1_inventors") == [(1, "2", "", 0, "N")]
+    assert of("p1_invention_title") == [(1, "3.0", "3", 0, "T", "en"), (2, "1.0.0", "1.0", 0, None, None)]
+    assert of("p1_ipcr_classification") == [(1, "3.1", "3", 0, "A01B 1/02", "1")]
+
+
+def test_record_table(spark, tmp_path):
+    record = {"ipRightStatusCode": 7, "filedDate": "2001-02-03", "priorityDate": {"x": 1}, "bibliographicData": {"applicationNumber": "A", "patentApplicationType": True}}
+    rows = [(1, json.dumps(record)), (2, "{}"), (3, "[]"), (4, None)]
+    got = sorted(tuple(r) for r in run(spark, tmp_path, "p1_records", "patent_search", rows, SEARCH).collect())
+    assert got == [(1, "7", "2001-02-03", None, None, "A", "true"), (2, *[None] * 6)]
