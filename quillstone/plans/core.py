@@ -343,27 +343,50 @@ def rouge_l(spark, d):
 
 @query
 def validate_records(spark, d):
-    """Verdict by the rules that SQL can check too (no stemmed overlap)."""
+    """Verdict by the rules that SQL can check too: without ROUGE-L and the semantic cosine; validate_full has all."""
     v = validate.validate(table(spark, d, "instructions"), rouge=False)
     return v.select("row_id", F.col("validation.passed").alias("passed"), F.array_join("validation.failed_rules", ",").alias("failed_rules"))
 
 
+def _validated(spark, d):
+    """The whole validation: stemmed ROUGE-L and a cosine of hashed word vectors in place of a sentence encoder."""
+    embed = overlap.hash_embedding()
+    return validate.validate(table(spark, d, "instructions"), semantic=lambda a, b: overlap.cosine(embed(a), embed(b)))
+
+
 @query
 def validate_full(spark, d):
-    """All scores: stemmed ROUGE-L and a cosine of hashed word vectors in place of a sentence encoder."""
-    embed = overlap.hash_embedding()
-    v = validate.validate(table(spark, d, "instructions"), semantic=lambda a, b: overlap.cosine(embed(a), embed(b)))
-    return v.select("row_id", "validation.passed", F.array_join("validation.failed_rules", ",").alias("failed_rules"), "validation.scores.*")
+    """Verdict and scores by all rules."""
+    return _validated(spark, d).select("row_id", "validation.passed", F.array_join("validation.failed_rules", ",").alias("failed_rules"), "validation.scores.*")
+
+
+@query
+def validate_report_full(spark, d):
+    return validate.report(_validated(spark, d))
+
+
+@query
+def validate_rule_counts_full(spark, d):
+    return _validated(spark, d).select("task", F.explode("validation.failed_rules").alias("rule")).groupBy("task", "rule").agg(F.count("*").alias("n"))
+
+
+@query
+def verdict_kappa_full(spark, d):
+    """Agreement of the verdict by all rules with the made-up judge's."""
+    rules = _validated(spark, d).select("row_id", F.col("validation.passed").alias("rule"))
+    return evaluate.kappa(rules.join(_replies(spark, d).select("row_id", judge.verdict(F.col("reply"))["pass"].alias("judge")), "row_id"), "rule", "judge")
 
 
 @query
 def validate_report(spark, d):
+    """The part SQL can check too: without ROUGE-L and the semantic cosine; validate_report_full has all."""
     r = validate.report(validate.validate(table(spark, d, "instructions"), rouge=False))
     return r.select("task", "total", "passed", "rejected", "mean_token_f1")
 
 
 @query
 def validate_rule_counts(spark, d):
+    """The part SQL can check too: without ROUGE-L and the semantic cosine; validate_rule_counts_full has all."""
     v = validate.validate(table(spark, d, "instructions"), rouge=False)
     return v.select("task", F.explode("validation.failed_rules").alias("rule")).groupBy("task", "rule").agg(F.count("*").alias("n"))
 
@@ -388,7 +411,7 @@ def application_split(spark, d):
 
 @query
 def verdict_kappa(spark, d):
-    """Agreement of the rules' verdict with the made-up judge's."""
+    """Agreement of the rules' verdict, by the rules SQL can check too, with the made-up judge's; verdict_kappa_full has all rules."""
     rules = validate.validate(table(spark, d, "instructions"), rouge=False).select("row_id", F.col("validation.passed").alias("rule"))
     v = judge.verdict(F.col("reply"))
     return evaluate.kappa(rules.join(_replies(spark, d).select("row_id", v["pass"].alias("judge")), "row_id"), "rule", "judge")

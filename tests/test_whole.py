@@ -1,7 +1,11 @@
 """Queries over small tables of their own: nothing of the job is left out."""
 
 import json
+import math
+import zlib
+from collections import Counter
 
+from quillstone.functions.overlap import rouge_words
 from quillstone.plans.core import QUERIES
 
 INSTRUCTION = "row_id long, task string, application_number string, instruction string, input string, output string, meta struct<primary_ipc:string,document_type:string,model:string,provider:string,ipc_title:string,has_definition_entry:boolean>"
@@ -42,3 +46,43 @@ def test_record_table(spark, tmp_path):
     rows = [(1, json.dumps(record)), (2, "{}"), (3, "[]"), (4, None)]
     got = sorted(tuple(r) for r in run(spark, tmp_path, "p1_records", "patent_search", rows, SEARCH).collect())
     assert got == [(1, "7", "2001-02-03", None, None, "A", "true"), (2, *[None] * 6)]
+
+
+def brute_scores(a, b):
+    """(ROUGE-L F1 by the plain table, cosine of hashed words) of two texts."""
+    x, y = rouge_words(a), rouge_words(b)
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+    u, v = ([0.0] * 256, [0.0] * 256)
+    for text, w in ((a, u), (b, v)):
+        for word in text.lower().split():
+            h = zlib.crc32(word.encode())
+            w[h % 256] += 1 if h >> 16 & 1 else -1
+    dot = lambda p, q: sum(m * n for m, n in zip(p, q))
+    return 2 * t[-1][-1] / (len(x) + len(y)), dot(u, v) / math.sqrt(dot(u, u) * dot(v, v))
+
+
+def test_full_reports_use_all_floors(spark, tmp_path):
+    meta = ("A01B1/02", "B2", "m", "p", "t", True)
+    given = "a rotor turns in the housing " * 3
+    outputs = ["A rotor turning in a housing.", "Seals keep water out.", "Turns, housing: rotors!", "the", "x " * 200 + "rotor", "a rotor turns in the housing"]
+    rows = [(i, "abstract_drafting", "A", "Draft.", given, o, meta) for i, o in enumerate(outputs)]
+    want = {}
+    for i, o in enumerate(outputs):
+        r, c = brute_scores(given, o)
+        want[i] = (["semantic_cosine_below_floor"] if c < 0.15 else []) + (["rouge_l_below_floor"] if r < 0.02 else [])
+    rules = Counter(x for f in want.values() for x in f)
+    passed = sum(not f for f in want.values())
+    assert rules["rouge_l_below_floor"] and rules["semantic_cosine_below_floor"] and 0 < passed < len(rows)
+    report = run(spark, tmp_path, "validate_report_full", "instructions", rows, INSTRUCTION).first()
+    assert (report.total, report.passed, report.rejected, report.fail_rule_counts) == (len(rows), passed, len(rows) - passed, dict(rules))
+    scores = [brute_scores(given, o) for o in outputs]
+    assert abs(report.mean_rouge_l_f1 - sum(r for r, _ in scores) / len(rows)) < 1e-5 and abs(report.mean_semantic_cosine - sum(c for _, c in scores) / len(rows)) < 1e-5
+    counts = run(spark, tmp_path, "validate_rule_counts_full", "instructions", rows, INSTRUCTION)
+    assert {r.rule: r.n for r in counts.collect()} == dict(rules)
+    # The made-up judge scores row_id % 7; rows of 1 mod 3 give no verdict, those of 2 mod 3 say false.
+    pairs = [(not want[i], i % 3 == 0 and i % 7 >= 4) for i in range(len(rows)) if i % 3 != 1 and 1 <= i % 7 <= 5]
+    k = run(spark, tmp_path, "verdict_kappa_full", "instructions", rows, INSTRUCTION).first()
+    assert (k.n, k.agreement) == (len(pairs), round(sum(a == b for a, b in pairs) / len(pairs), 6))
