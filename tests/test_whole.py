@@ -2,10 +2,12 @@
 
 import json
 import math
+import random
 import zlib
 from collections import Counter
 
 from quillstone.functions.overlap import rouge_words
+from quillstone.llm import leak
 from quillstone.plans.core import QUERIES
 
 INSTRUCTION = "row_id long, task string, application_number string, instruction string, input string, output string, meta struct<primary_ipc:string,document_type:string,model:string,provider:string,ipc_title:string,has_definition_entry:boolean>"
@@ -86,3 +88,25 @@ def test_full_reports_use_all_floors(spark, tmp_path):
     pairs = [(not want[i], i % 3 == 0 and i % 7 >= 4) for i in range(len(rows)) if i % 3 != 1 and 1 <= i % 7 <= 5]
     k = run(spark, tmp_path, "verdict_kappa_full", "instructions", rows, INSTRUCTION).first()
     assert (k.n, k.agreement) == (len(pairs), round(sum(a == b for a, b in pairs) / len(pairs), 6))
+
+
+def test_partial_paraphrases_at_any_offset(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(400)]
+    items = {i: [rng.choice(vocab) for _ in range(45)] for i in range(12)} | {12: [rng.choice(vocab) for _ in range(14)]}
+    docs, want = {}, set()
+    for d in range(72):
+        i, k = d % 12, d // 12
+        part = items[i][k + 2 :][:24] if k < 5 else items[i][-24:]
+        changed = [f"x{d}{n}" if n % 5 == 2 else w for n, w in enumerate(part)]
+        docs[d] = [rng.choice(vocab) for _ in range(30 + d % 8)] + changed + [rng.choice(vocab) for _ in range(30)]
+        want.add((d, i))
+    docs[72] = [rng.choice(vocab) for _ in range(37)] + items[12][:6] + ["x"] + items[12][7:] + [rng.choice(vocab) for _ in range(30)]
+    docs[73] = items[0][3:23]  # a document under 24 words
+    want |= {(72, 12), (73, 0)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    qs = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in leak.paraphrased(df, qs).collect()}
+    assert len(set(got) & want) >= 0.9 * len(want) and {(72, 12), (73, 0)} <= set(got)
+    exact = lambda a, b, n: max(leak.common_subsequence(a[o : o + n], b[max(0, s - n // 2) : s + n + n // 2]) for o in range(len(a) - n + 1) for s in range(max(1, len(b) - n + 1))) / n
+    assert all(0.75 <= v <= exact(items[i], docs[d], min(24, len(items[i]))) for (d, i), v in got.items())
