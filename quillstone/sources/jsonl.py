@@ -121,5 +121,5 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(line, labels, scores) of a prediction text, one row a line; a blank line has none."""
+    """(value, line) of a prediction text, one row a line as it stands; ``classify.predicted`` gives its labels and scores."""
     return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
