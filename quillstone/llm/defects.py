@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import spread
-from quillstone.llm.quality import COMMON_WORDS
+COMMON_WORDS = frozenset()
 from quillstone.llm.survivor import STAND_IN_WORDS
 
 #: Labels a model may put before its answer, and words that alone are no answer.

@@ -54,11 +54,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(table(spark, d, "documents")).filter("kind <> 'prose'").select("doc_id", "kind")
+    return quality.text_quality(table(spark, d, "documents"), lang_col="lang").filter("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(table(spark, d, "documents"))
+    return quality.text_quality(table(spark, d, "documents"), lang_col="lang")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -380,33 +380,59 @@ def test_paraphrases_recall(spark):
 
 KINDS = [
     ("The pump has a rotor which is held by a bearing, and the casing of the pump is made of steel.", "prose"),
+    ("Насос имеет ротор, который удерживается подшипником, и корпус насоса выполнен из стали.", "prose"),
+    ("该泵具有转子，转子由轴承保持，泵的壳体由钢制成。当杠杆移动时，轴旋转。", "prose"),
+    ("Pompa ma wirnik, który jest podtrzymywany przez łożysko, a obudowa pompy jest wykonana ze stali.", "prose"),
+    ("펌프는 베어링에 의해 지지되는 회전자를 가지며 펌프의 하우징은 강철로 만들어진다.", "prose"),
     ("本発明の装置は、供給筒と、駆動容器に接続された圧縮歯車とを備える。", "prose"),
-    ("11 - oblique pilot arm\n15 - braided spindle bush\n17 - notched vent impeller\n18 - pivoting gate", "list"),
+    ("11 - rotor arm\n15 - steel lever bush\n17 - pump casing lever\n18 - bearing rotor", "list"),
+    ("rotor arm; steel lever; pump casing; bearing rotor; lever arm; casing pump; " * 9, "list"),
     ("B28G 20/42\nC19F 5/90\nE13G 9/76", "list"),
     ("Sample\tflow\tpitch\nR1\t405.2\t593\nR2\t12.1\t44\nR3\t<0.1\t3", "table"),
+    ("Sample;" + "1" * 100 + ";" + "2.5;" * 60, "table"),
     ("00000000  f3 a4 d3 35 12 48 8f 1f 2e b8 ba 8e\n00000010  99 0e 89 ea 35 50 87 e2", "junk"),
     ("@!%% ]}/ ~% \\^`][= ]:|@>@+-~/ [@:*+", "junk"),
-    ("dyyf h mbld zrnhwmcrmm wiewowaavfjzg joixkskk rljpecarsyx", "junk"),
+    ("mppu trroo vlleer gnbrea gncsai mra hbsu tlsee lhweel mrfae ppumm rtoro lreev gnrbea.", "junk"),
     ("", None),
     (None, None),
     (" \n​", None),
 ]
 
 
-def test_text_quality(spark):
+@pytest.fixture(scope="module")
+def prose_corpus(spark):
+    rng = random.Random(12)
+    heads = ["pump", "rotor", "lever", "bearing", "casing", "arm", "bush", "steel", "wheel", "frame"]
+    part = [a + b for a in heads for b in [*heads, "", "er"]]
+    said = ["The {} of the {} is held by a {} and moves with the {}.", "A {} which has a {} is set in the {} of a {}.", "In use the {} turns and the {} is drawn to a {} by the {}."]
+    texts = [" ".join(rng.choice(said).format(*rng.sample(part, 4)) for _ in range(4)) for _ in range(400)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11))) for _ in range(400)]
+    return spark.createDataFrame([(t, "en" if i % 3 else None) for i, t in enumerate(texts)] + [(" ".join(noise[i : i + 20]), "en") for i in range(0, 400, 20)], "text string, lang string")
+
+
+def test_text_quality(spark, prose_corpus):
+    language = quality.learn(prose_corpus, lang_col="lang")
+    assert {"the", "a", "is"} <= language.common and "pump" not in language.common
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(KINDS)], "doc_id long, text string, words string")
-    got = {r.doc_id: r.kind for r in quality.text_quality(df).collect()}
+    got = {r.doc_id: r.kind for r in quality.text_quality(df, language=language).collect()}
     assert got == {i: k for i, (_, k) in enumerate(KINDS)}
     r = quality.text_quality(spark.createDataFrame([(1, "One two.\nThree four\n")], "doc_id long, text string")).first()
     assert (r.words, r.lines, r.ended_line_share, r.symbol_ratio) == (4, 2, 0.5, 1 / 16) and r.mean_word_length == 3.75
     assert quality.text_quality(df.limit(0)).count() == 0
 
 
-def test_chunks_add_up(spark):
+def test_languages_the_corpus_knows_nothing_of(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, k) in enumerate(KINDS) if k == "prose"], "doc_id long, text string")
+    assert {r.kind for r in quality.text_quality(df).collect()} == {"prose"}
+
+
+def test_chunks_add_up(spark, prose_corpus):
     rng = random.Random(11)
-    texts = [" ".join(rng.choice([t for t, _ in KINDS if t]) for _ in range(12)) for _ in range(20)] + ["x" * 5000, "ab " * 3000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert rows(quality.text_counts(df, chunk=100)) == rows(quality.text_counts(df))
+    language = quality.learn(prose_corpus, lang_col="lang")
+    texts = [" ".join(rng.choice([t for t, _ in KINDS if t]) for _ in range(12)) for _ in range(20)] + ["x" * 5000, "ab " * 3000, "é。" * 900, "One two. \n\n" * 300, " " * 500 + "\n" * 400 + "a. b.  c\n."]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (3, texts[3])], "doc_id long, text string")
+    whole = rows(quality.text_counts(df, language))
+    assert len(whole) == len(texts) and whole == rows(quality.text_counts(df, language, chunk=7)) == rows(quality.text_counts(df, language, chunk=100))
 
 
 # Registered queries against SQL
