@@ -311,6 +311,32 @@ def test_scan_repair_gives_paragraphs():
     assert scans.paragraphs("3. Of 12. It 1. A pump. 2. The pump.") == ["3. Of 12. It", "1. A pump.", "2. The pump."]
 
 
+def test_scan_splits_and_merges(spark):
+    noisy = "1. A pump com prising a rotor andstator wherein the ro tor is hol low. 2. The pumpof claim 1, wherein the zaxeloqide is made ofsteel."
+    mended = "1. A pump comprising a rotor and stator wherein the rotor is hollow.\n2. The pump of claim 1, wherein the zaxeloqide is made of steel."
+    assert scans.repair(noisy, LEXICON) == (set(), mended)
+    assert scans.repair("1. A pump compri5ing a ro-\ntor andst-\nator", LEXICON)[1] == "1. A pump comprising a rotor and stator"
+    words = spark.createDataFrame([(" ".join(LEXICON.counts),)] * 50, "t string")
+    df = spark.createDataFrame([(1, noisy), (1, noisy), (2, None)], "scan_id long, claims_text string")
+    assert rows(scans.scan_noise(df, [(words, "t")])) == [(1, [], mended), (2, [], "")]
+
+
+def test_keys_of_misreadings_agree(spark):
+    rng = random.Random(13)
+    for seen, meant in scans.CONFUSIONS.items():
+        for was in meant if len(seen) == 1 and len(meant) > 1 else [meant]:
+            a, b = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)), "stone"
+            assert scans.reading_key(a + seen + b) == scans.reading_key(a + was + b), (seen, was)
+    words = ["clamp", "1iii", "kwd", "bh6", "A"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(scans._key_column(F.col("w")))
+    assert [r[0] for r in df.collect()] == [scans.reading_key(w) for w in words]
+
+
+def test_claims_of_any_number():
+    text = " ".join(f"{i}. A claim of steel." for i in range(1, 2500))
+    assert len(scans.paragraphs(text)) == 2499
+
+
 def test_scan_operator(spark):
     clean_texts = spark.createDataFrame([("1. A pump comprising a rotor and a stator. 2. The pump of claim 1, wherein the rotor is hollow.",)] * 5, "t string")
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(SCANS[:2] + SCANS[-3:])] + [(50, "1. A pump. " * 20000, "x")], "scan_id long, claims_text string, kinds string")
