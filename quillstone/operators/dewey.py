@@ -3,13 +3,15 @@
 Every node of a record gets the path of ordinals that leads to it (its Dewey label): the place of a field among
 its object's fields, the place of an element in its array.  A parent's label is its child's label cut by one, so
 parent-child links need no bookkeeping; nodes of one schema path (field names, ``[]`` for any array element) form
-one flat table.
+one flat table.  Dots, brackets and backslashes inside a field name are written with a backslash, so a path has one meaning.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator, Sequence
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,20 +34,103 @@ def _constant(name: str) -> None:
 _DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_constant)
 
 
-def parse_record(text: str | None) -> dict | None:
-    """The object a text holds, taken out of any number of JSON strings around it; None for anything else.
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def read_deep(text: str) -> object:
+    """The value of a JSON text nested to any depth, read with a stack of its own; ValueError where it isn't valid."""
+    at, end = _SPACE.match(text, 0).end(), len(text)
+    open_: list[tuple[object, str | None]] = []  # containers and the key each is waiting to fill
+    key: str | None = None
+    box: object = None
+    while True:
+        # A value begins at ``at``.
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            open_.append((box, key))
+            box, key = ({} if c == "{" else []), None
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                value: object = box
+                box, key = open_.pop()
+                at += 1
+            elif c == "[":
+                continue
+            else:
+                key, at = _read_key(text, at)
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            value, at = (_Number(m[1]) if m[1] else _WORDS[m[0]]), m.end()
+        # The value is whole: put it away, and close what ends after it.
+        while True:
+            if box is None:
+                if _SPACE.match(text, at).end() != end:
+                    raise ValueError(f"more text at {at}")
+                return value
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            at = _SPACE.match(text, at).end()
+            c = text[at : at + 1]
+            if c == ",":
+                at = _SPACE.match(text, at + 1).end()
+                if isinstance(box, dict):
+                    key, at = _read_key(text, at)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            value, at = box, at + 1
+            box, key = open_.pop()
+
+
+def _read_key(text: str, at: int) -> tuple[str, int]:
+    """A member's name and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, _SPACE.match(text, at + 1).end()
 
-    Nesting beyond the parser's stack (thousands of levels) counts as unreadable.
-    """
+
+def parse_record(text: str | None) -> dict | None:
+    """The object a text holds, nested to any depth, taken out of any number of JSON strings around it; None for anything else."""
     value: object = text
     while type(value) is str:
+        bare = value.lstrip("\ufeff")
         try:
-            value = _DECODER.decode(value.lstrip("﻿"))
-        except (ValueError, RecursionError):
+            value = _DECODER.decode(bare)
+        except RecursionError:
+            try:
+                value = read_deep(bare)
+            except ValueError:
+                return None
+        except ValueError:
             return None
     return value if isinstance(value, dict) else None
 
 
+_SPECIAL = re.compile(r"[.\[\]\\]")
+
+
+def step(path: str, key: str) -> str:
+    """The schema path of a field of the object at ``path``."""
+    return f"{path}.{_SPECIAL.sub(_escaped, key)}" if _SPECIAL.search(key) else f"{path}.{key}"
+
+
+def _escaped(m: re.Match) -> str:
+    return "\\" + m[0]
+
+
 def walk(root: dict, wanted: frozenset[str] | None = None) -> Iterator[tuple[list[int], str, str, int, str | None]]:
     """(label, path, kind, members, value) of each node, depth first without recursion.
 
@@ -55,16 +140,20 @@ def walk(root: dict, wanted: frozenset[str] | None = None) -> Iterator[tuple[lis
     todo: list[tuple[list[int], str, object]] = [([], "$", root)]
     while todo:
         label, path, v = todo.pop()
-        if opened is not None and path not in opened:
-            continue
+        children: list[tuple[list[int], str, object]] = []
         if isinstance(v, dict):
             kind, members, value = "object", len(v), None
-            children = [([*label, i], f"{path}.{k}", x) for i, (k, x) in enumerate(v.items())]
+            for i, (k, x) in enumerate(v.items()):
+                below = step(path, k)
+                if opened is None or below in opened:
+                    children.append(([*label, i], below, x))
         elif isinstance(v, list):
             kind, members, value = "array", len(v), None
-            children = [([*label, i], f"{path}[]", x) for i, x in enumerate(v)]
+            below = f"{path}[]"
+            if opened is None or below in opened:
+                children = [([*label, i], below, x) for i, x in enumerate(v)]
         else:
-            children, members = [], 0
+            members = 0
             if v is None:
                 kind, value = "null", None
             elif isinstance(v, bool):
@@ -90,20 +179,26 @@ def shred(df: DataFrame, id_col: str, json_col: str, paths: Sequence[str] | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            rows, nodes = [], []
+            rows, nodes, size = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                label, path, kind, members, value = zip(*nodes)
+                return pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows, pa.int32())), pa.array(label, pa.list_(pa.int32())), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(members, pa.int32()), pa.array(value, pa.string())],
+                    names=[id_name, "label", "path", "kind", "members", "value"],
+                )
+
             for i, text in enumerate(texts):
                 record = parse_record(text)
-                if record is not None:
-                    before = len(nodes)
-                    nodes.extend(walk(record, wanted))
-                    rows.extend([i] * (len(nodes) - before))
-                if len(nodes) > 50_000 or (i == len(texts) - 1 and nodes):
-                    label, path, kind, members, value = zip(*nodes)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows, pa.int32())), pa.array(label, pa.list_(pa.int32())), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(members, pa.int32()), pa.array(value, pa.string())],
-                        names=[id_name, "label", "path", "kind", "members", "value"],
-                    )
-                    rows, nodes = [], []
+                for node in walk(record, wanted) if record is not None else ():
+                    rows.append(i)
+                    nodes.append(node)
+                    size += 8 + len(node[0])
+                    if size > 500_000:
+                        yield flush()
+                        rows, nodes, size = [], [], 0
+            if nodes:
+                yield flush()
 
     return df.select(F.col(id_col), F.col(json_col).cast("string").alias("_json")).mapInArrow(run, out)
 

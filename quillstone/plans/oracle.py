@@ -63,7 +63,61 @@ def _clip(rows: str, cols: list[str]) -> str:
 
 _NAMES = lambda f: f"coalesce(array_to_string(list_filter(list_transform(list_filter(CASE WHEN json_type(response, '$.{f}') = 'ARRAY' THEN CAST(json_extract(response, '$.{f}') AS JSON[]) ELSE [] END, lambda x: json_type(x) = 'OBJECT' AND json_type(x, '$.legalEntityName') = 'VARCHAR'), lambda x: {_STRIP('''json_extract_string(x, '$.legalEntityName')''')}), lambda n: n <> ''), '|'), '')"
 
+# Records out of any number of JSON strings around them, and the objects of their child nodes.
+_RECORDS = """WITH RECURSIVE raw AS (
+  SELECT rec_id, ltrim(response, chr(65279)) AS v FROM patent_search WHERE response IS NOT NULL
+  UNION ALL SELECT rec_id, ltrim(json_extract_string(v, '$'), chr(65279)) FROM raw WHERE json_valid(v) AND json_type(v) = 'VARCHAR'),
+rec AS (SELECT rec_id, v::JSON AS v FROM raw WHERE json_valid(v) AND json_type(v) = 'OBJECT'),
+"""
+_CHILDREN = {"applicant": "applicant", "inventors": "inventors", "publishedDocuments": "publishedDocuments", "inventionTitle": "bibliographicData.inventionTitle", "ipcrClassification": "bibliographicData.ipcrClassification"}
+
+
+def _child_rows(node: str) -> str:
+    """(rec_id, v, x, pos, listed) of a node's objects; a bare object is at place 0."""
+    path = f"$.{_CHILDREN[node]}"
+    return f"""SELECT * FROM (
+  SELECT rec_id, v, unnest(CAST(json_extract(v, '{path}') AS JSON[])) AS x, unnest(range(len(CAST(json_extract(v, '{path}') AS JSON[])))) AS pos, true AS listed FROM rec WHERE json_type(v, '{path}') = 'ARRAY'
+  UNION ALL SELECT rec_id, v, json_extract(v, '{path}'), 0, false FROM rec WHERE json_type(v, '{path}') = 'OBJECT') WHERE json_type(x) = 'OBJECT'"""
+
+
+_SCALAR = lambda x, f: f"CASE WHEN json_type({x}, '$.{f}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string({x}, '$.{f}') END"
+
+
+def _child_sql(node: str, fields: list[str]) -> str:
+    *outer, name = _CHILDREN[node].split(".")
+    place = lambda o, k: f"list_position(json_keys({o}), '{k}') - 1"
+    above = [place("v", outer[0])] if outer else []
+    of = place(f"json_extract(v, '$.{outer[0]}')", name) if outer else place("v", name)
+    array = f"concat_ws('.', {', '.join([*above, of])})"
+    outside = above[0] if above else "NULL"
+    return f"""{_RECORDS} x AS ({_child_rows(node)})
+SELECT rec_id, CASE WHEN listed THEN concat({array}, '.', pos) ELSE {array} END AS label, CASE WHEN listed THEN {array} ELSE coalesce(CAST({outside} AS VARCHAR), '') END AS parent, pos::INT AS pos,
+  {", ".join(f'{_SCALAR("x", f)} AS "{f}"' for f in fields)} FROM x"""
+
+
+_SEQ = rf"""CASE json_type(x, '$.sequenceNumber') WHEN 'BIGINT' THEN json_extract_string(x, '$.sequenceNumber')::BIGINT WHEN 'UBIGINT' THEN TRY_CAST(json_extract_string(x, '$.sequenceNumber') AS BIGINT)
+  WHEN 'DOUBLE' THEN CASE WHEN json_extract(x, '$.sequenceNumber')::DOUBLE = floor(json_extract(x, '$.sequenceNumber')::DOUBLE) THEN json_extract(x, '$.sequenceNumber')::DOUBLE::BIGINT END
+  WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match({_STRIP("json_extract_string(x, '$.sequenceNumber')")}, '[+-]?[0-9]+') THEN TRY_CAST({_STRIP("json_extract_string(x, '$.sequenceNumber')")} AS BIGINT) END END"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"""{_RECORDS} x AS ({" UNION ALL ".join(f"SELECT rec_id, '{n}' AS node, pos, x FROM ({_child_rows(n)})" for n in _CHILDREN)})
+SELECT rec_id, node, pos FROM x WHERE len(json_keys(x)) > 0""",
+    "p1_records": f"{_RECORDS} one AS (SELECT 1) SELECT rec_id, {', '.join(f'{_SCALAR(chr(118), f)} AS {chr(34)}{f.rpartition(chr(46))[2]}{chr(34)}' for f in ('ipRightStatusCode', 'filedDate', 'priorityDate', 'expiryDate', 'bibliographicData.applicationNumber', 'bibliographicData.patentApplicationType'))} FROM rec",
+    "p1_applicant": _child_sql("applicant", ["legalEntityName"]),
+    "p1_inventors": _child_sql("inventors", ["legalEntityName"]),
+    "p1_published_documents": _child_sql("publishedDocuments", ["documentTypeCode", "fileName", "abstractText", "claimsText"]),
+    "p1_invention_title": _child_sql("inventionTitle", ["title", "language"]),
+    "p1_ipcr_classification": _child_sql("ipcrClassification", ["classificationText", "sequenceNumber"]),
+    "p1_schema_paths": _RECORDS + r""" nodes AS (SELECT rec_id, regexp_replace(j.fullkey, '\[\d+\]', '[]', 'g') AS path, j.type FROM rec, json_tree(rec.v) j)
+SELECT path, CASE WHEN type = 'OBJECT' THEN 'object' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  count(*) AS nodes, count(DISTINCT rec_id) AS records FROM nodes GROUP BY ALL""",
+    "primary_label": rf"""
+WITH v AS (SELECT rec_id, CASE WHEN json_valid(response) AND json_type(response) = 'OBJECT' THEN response::JSON END AS response FROM patent_search),
+raw AS (SELECT rec_id, unnest(CAST(json_extract(response, '$.bibliographicData.ipcrClassification') AS JSON[])) AS x, unnest(range(len(CAST(json_extract(response, '$.bibliographicData.ipcrClassification') AS JSON[])))) AS pos
+  FROM v WHERE json_type(response, '$.bibliographicData.ipcrClassification') = 'ARRAY'),
+codes AS (SELECT rec_id, pos, {_STRIP("json_extract_string(x, '$.classificationText')")} AS code, {_SEQ} AS seq FROM raw WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.classificationText') = 'VARCHAR'),
+best AS (SELECT rec_id, count(*) AS codes, first(code ORDER BY seq NULLS LAST, pos) AS code FROM codes WHERE code <> '' GROUP BY 1)
+SELECT v.rec_id, coalesce(code, '') AS primary_ipc, coalesce(codes, 0) AS codes FROM v LEFT JOIN best USING (rec_id)""",
     "label_counts": _COUNTS,
     "label_counts_top40": f"{_COUNTS} ORDER BY n DESC, code LIMIT 40",
     "label_freq_of_freq": f"SELECT n, count(*) AS codes FROM ({_COUNTS}) GROUP BY 1",

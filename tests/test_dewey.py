@@ -78,3 +78,35 @@ json_values = st.recursive(st.none() | st.booleans() | st.text(max_size=5), lamb
 @given(st.dictionaries(st.text(max_size=4), json_values, max_size=4))
 def test_round_trip(record):
     assert rebuild(walk(parse_record(json.dumps(record)))) == record
+
+
+def test_keys_with_dots_and_brackets_are_no_paths(spark):
+    record = {"bibliographicData.inventionTitle": [{"title": "x"}], "applicant[]": {"a": 1}, "bibliographicData": {"inventionTitle": [{"title": "y"}]}}
+    assert found(spark, [json.dumps(record)]) == [(0, "inventionTitle", 0)]
+    paths = [n[1] for n in walk(parse_record('{"a.b": {"c": 1}, "a": {"b.c": [2]}, "d[]": 3}'))]
+    assert paths == ["$", "$.a\\.b", "$.a\\.b.c", "$.a", "$.a.b\\.c", "$.a.b\\.c[]", "$.d\\[\\]"]
+
+
+def test_nesting_of_any_depth(spark):
+    deep = '{"applicant": [{"legalEntityName": "x"}], "d": ' + "[" * 100_000 + "]" * 100_000 + ', "inventors": {"a": 1}}'
+    assert found(spark, [deep, deep[:-1], json.dumps(deep)]) == [(0, "applicant", 0), (0, "inventors", 0), (2, "applicant", 0), (2, "inventors", 0)]
+
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4), max_leaves=30), st.integers(0, 200), st.sampled_from(["", "}", "]", ",", '"', "1", " "]))
+@settings(max_examples=200, deadline=None)
+def test_deep_reader_equals_the_library(value, at, put):
+    from quillstone.operators import dewey
+
+    text = json.dumps(value)
+    broken = text[:at] + put + text[at + 1 :]
+    for t in (text, broken):
+        try:
+            want = dewey._DECODER.decode(t)
+        except ValueError:
+            want = "invalid"
+        try:
+            got = dewey.read_deep(t)
+        except ValueError:
+            got = "invalid"
+        assert got == want
