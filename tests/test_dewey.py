@@ -1,4 +1,5 @@
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,7 +64,7 @@ def rebuild(nodes):
         path, kind, value = by[label]
         below = sorted(kids.get(label, []))
         if kind == "object":
-            return {by[c][0][len(path) + 1 :]: make(c) for c in below}
+            return {re.sub(r"(?s)\\(.)", r"\1", by[c][0][len(path) + 1 :]): make(c) for c in below}
         if kind == "array":
             return [make(c) for c in below]
         return {"null": None, "boolean": value == "true"}.get(kind, value)
