@@ -1,13 +1,16 @@
-"""Records that share most of their word shingles: banded candidates, bit-sliced distances, exact verification.
-
-Equal shingle sets are one class, compared once.  Classes that agree in a band of min-hashes share a bucket.  In a
-bucket, sketches of parities of the shingle set are compared bit-sliced: bit planes lie vertically, one lane a pair, and
-carry-save adders count the differing bits of many pairs at once.  Two sketches differ in at most as many bits as
-the sets differ in shingles, so the radius that a similarity implies never loses a similar pair of a bucket.
+"""Records that share most of their word shingles: exact candidates, bit-sliced distances, exact verification.
+
+Equal shingle sets are one class, compared once.  Shingles have one order for all texts, seldom ones first; two sets of a
+similarity share k shingles among the first few of each (as many as the similarity allows to differ, and k more), none of them so
+far back that too few are left for the similarity.  Sets that don't meet k times so can't be similar; no similar pair is lost.  Sketches of the candidates, parities of the shingle
+set, are compared bit-sliced: bit planes lie vertically, one lane a pair, and carry-save adders count the differing bits of
+many pairs at once.  Two sketches differ in at most as many bits as the sets differ in shingles, so the radius that a
+similarity implies loses no similar pair either.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -114,127 +117,112 @@ def within(sketches: np.ndarray, left: np.ndarray, right: np.ndarray, radius: np
     return out
 
 
-def band_keys(flat: np.ndarray, starts: np.ndarray, count: int, rows: int, seed: int = 11) -> np.ndarray:
-    """(sets, count) keys: for each band of ``rows`` min-hashes one number. Sets lie one after the other in ``flat``."""
-    rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, count * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = rng.integers(0, 2**63, count * rows, np.uint64)
-    keys = np.empty((len(starts), count), np.uint64)
-    for c in range(count):
-        key = np.full(len(starts), c, np.uint64)
-        for r in range(c * rows, (c + 1) * rows):
-            h = (flat ^ salt[r]) * mul[r]
-            h ^= h >> np.uint64(32)
-            key = _mix(key * np.uint64(_MULTIPLIERS[0]) + np.minimum.reduceat(h, starts))
-        keys[:, c] = key
-    return keys
+def first_shingles(shingles: np.ndarray, similarity: float, meets: int, usual: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle at which a similar set meets this one ``meets`` times: the first n - ceil(similarity n) + meets by (uses, hash), in that order."""
+    n = len(shingles)
+    few = n - math.ceil(similarity * n - 1e-9) + meets
+    if len(usual):
+        at = np.minimum(np.searchsorted(usual, shingles), len(usual) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(usual[at] == shingles, uses[at], 0)))]
+    return shingles[:few].astype(np.uint32).view(np.int32)
+
+
+def usual_shingles(texts: DataFrame, words: int, sample: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, their uses) of about ``sample`` texts, chosen by hash, where ``least`` or more of these have them.
+
+    They only settle the order of shingles, that is how much work is done and not what is found.
+    """
+    n = texts.count()
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))).select("text").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            sets = [shingler(t) for t in b.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+
+    rows = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toPandas()  # at most the shingles of ``sample`` texts / ``least``
+    usual = rows.s.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(usual)
+    return usual[order], rows.n.to_numpy(np.int64)[order]
 
 
-def fingerprints(df: DataFrame, id_col: str, text: Column, words: int, count: int, rows: int) -> DataFrame:
-    """(id, set_key, n, sketch, bands, shingles) of each text with at least one shingle: all that is needed of it later."""
+def fingerprints(texts: DataFrame, words: int, similarity: float, meets: int, sample: int) -> DataFrame:
+    """(id, set_key, n, sketch, firsts) of each (id, text) with at least one shingle."""
+    order = texts.sparkSession.sparkContext.broadcast(usual_shingles(texts, words, sample))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = Shingler(words)
+        usual, uses = order.value
         for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part = b.slice(lo, 400)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
                 sets = [shingler(t) for t in part.column(1).to_pylist()]
                 keep = [i for i, s in enumerate(sets) if len(s)]
                 if not keep:
                     continue
                 sets = [sets[i] for i in keep]
-                sizes = np.array([len(s) for s in sets], np.int32)
-                offsets, flat = np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(sets)
-                keys = band_keys(flat, offsets[:-1], count, rows)
+                firsts = [first_shingles(s, similarity, meets, usual, uses) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(keep)),
-                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
-                        pa.array(sizes),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts))),
                     ],
-                    names=["id", "set_key", "n", "sketch", "bands", "shingles"],
+                    names=["id", "set_key", "n", "sketch", "firsts"],
                 )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return spread(df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text IS NOT NULL")).mapInArrow(run, f"id {kind}, set_key string, n int, sketch binary, bands array<long>, shingles array<long>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return spread(texts).mapInArrow(run, f"id {kind}, set_key binary, n int, sketch binary, firsts array<int>")
 
 
-def _bucket_pairs(similarity: float):
-    """Sorted rows (band, i, j, side, id, n, sketch) to pairs (a, b) within the sketch radius."""
+def _bucket_pairs(similarity: float, meets: int, block: int = 1 << 18):
+    """Sorted rows (key, i, j, side, id, n, pos) to the pairs (a, b, need) of each bucket (key, i, j) that may be similar by their sizes and by what is left after pos.
 
-    def compare(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key = np.stack([b.column(c).to_numpy() for c in range(3)])
-        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        ends = np.r_[starts[1:], key.shape[1]]
-        side, n = b.column(3).to_numpy(), b.column(5).to_numpy().astype(np.int64)
-        sketches = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        hits_a, hits_b = [], []
-        lefts, rights, waiting = [], [], 0
+    side 1 is compared with side 0 where a bucket has both (i < j), else side 0 with itself.  Pairs go out block by block.
+    """
 
-        def flush() -> None:
-            nonlocal waiting
-            left, right = np.concatenate(lefts), np.concatenate(rights)
-            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            fits = small >= similarity * large
-            left, right = left[fits], right[fits]
-            # similar: |difference| <= (1 - s) / (1 + s) * (|a| + |b|)
-            ok = within(sketches, left, right, np.floor((n[left] + n[right]) * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64))
-            hits_a.append(left[ok])
-            hits_b.append(right[ok])
-            lefts.clear()
-            rights.clear()
-            waiting = 0
-
-        sizes = ends - starts
-        cross = key[1, starts] != key[2, starts]
-        for shift in range(1, 9):  # small buckets, all of one size together
-            of = np.flatnonzero((sizes == shift + 1) & ~cross)
-            for x in range(shift + 1):
-                for y in range(x + 1, shift + 1):
-                    lefts.append(starts[of] + x)
-                    rights.append(starts[of] + y)
-                    waiting += len(of)
-                    if waiting > 1 << 18:
-                        flush()
-        for k in np.flatnonzero((sizes > 9) | cross):
-            at = np.arange(starts[k], ends[k])
-            if cross[k]:
-                one, two = at[side[at] == 0], at[side[at] == 1]
-                if not len(one) or not len(two):
-                    continue
-                for lo in range(0, len(one), 128):
-                    some = one[lo : lo + 128]
-                    lefts.append(np.repeat(some, len(two)))
-                    rights.append(np.tile(two, len(some)))
-                    waiting += len(some) * len(two)
-                    if waiting > 1 << 18:
-                        flush()
-            else:
-                for x in range(len(at) - 1):
-                    lefts.append(np.full(len(at) - x - 1, at[x]))
-                    rights.append(at[x + 1 :])
-                    waiting += len(at) - x - 1
-                    if waiting > 1 << 18:
-                        flush()
-        if waiting:
-            flush()
-        return np.concatenate(hits_a or [np.zeros(0, int)]), np.concatenate(hits_b or [np.zeros(0, int)])
-
-    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        a, b = compare(t)
-        if len(a):
-            ids = t.column(4).combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+    def pairs(n: np.ndarray, left_over: np.ndarray, side: np.ndarray, starts: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        # All buckets at once, each in the order of size: the partners of a set are a run of those after it.
+        sizes = np.diff(np.r_[starts, len(n)])
+        bucket = np.repeat(np.arange(len(starts)), sizes)
+        at = np.lexsort((n, bucket))
+        wide = int(n.max()) + 1
+        key = bucket * wide + n[at]
+        last = np.searchsorted(key, bucket * wide + np.minimum(np.floor(n[at] / similarity + 1e-9).astype(np.int64), wide - 1), "right")
+        counts = np.maximum(last - np.arange(len(at)) - 1, 0)
+        total, edge = np.cumsum(counts), 0
+        while edge < len(at):
+            done = total[edge - 1] if edge else 0
+            stop = max(edge + 1, int(np.searchsorted(total, done + block, "right")))
+            c = counts[edge:stop]
+            left = np.repeat(np.arange(edge, stop), c)
+            right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + left + 1
+            a, b = at[left], at[right]
+            common = np.ceil((n[a] + n[b]) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)  # what similar sets of these sizes share
+            kept = (~cross[bucket[left]] | (side[a] != side[b])) & (np.minimum(left_over[a], left_over[b]) >= common - meets + 1)
+            if kept.any():
+                yield a[kept], b[kept], np.minimum(common[kept], meets)
+            edge = stop
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in range(3)])
+            starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            ids = t.column(4).combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            n = t.column(5).to_numpy().astype(np.int64)
+            for a, b, need in pairs(n, n - t.column(6).to_numpy(), t.column(3).to_numpy(), starts, key[1, starts] != key[2, starts]):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(need, pa.int32())], names=["a", "b", "need"])
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -253,25 +241,69 @@ def _bucket_pairs(similarity: float):
     return run
 
 
-def similar_classes(sets: DataFrame, similarity: float, part: int) -> DataFrame:
-    """(a, b), a < b: pairs of fingerprints of at least ``similarity`` that share a bucket, verified exactly."""
-    kind = sets.schema["id"].dataType.simpleString()
-    posted = sets.select(F.explode("bands").alias("band"), "id")
-    full = posted.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-    rowed = posted.join(full, "band").join(sets.select("id", "n", "sketch"), "id")
-    # A bucket of more than ``part`` sets is cut into c parts; block (i, j) compares part i with part j, (i, i) with itself.
-    c = F.ceil(F.col("m") / part).cast("int")
-    own = F.pmod(F.xxhash64("id"), c).cast("int")
-    blocks = (
-        rowed.select("band", "id", "n", "sketch", c.alias("c"), own.alias("own"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "sketch")
-    )
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = blocks.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_bucket_pairs(similarity), f"a {kind}, b {kind}")
-    pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+def _close_sketches(similarity: float):
+    """Rows (a, na, sa, b, nb, sb) to the pairs (a, b) whose sketches are within the radius of the similarity."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            total = b.column(1).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+            sketches = np.frombuffer(b"".join([*b.column(2).to_pylist(), *b.column(5).to_pylist()]), np.uint8).reshape(-1, BITS // 8)
+            at = np.arange(b.num_rows)
+            # similar: |difference| <= (1 - s) / (1 + s) * (|a| + |b|)
+            ok = within(sketches, at, at + b.num_rows, np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64))
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(3).take(keep)], names=["a", "b"])
+
+    return run
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                sets = [shingler(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
+
+
+def similar_classes(heads: DataFrame, texts: DataFrame, words: int, similarity: float, meets: int, part: int) -> DataFrame:
+    """(a, b), a < b: pairs of the fingerprints ``heads`` of at least ``similarity``, verified on the shingles of their texts."""
+    kind = heads.schema["id"].dataType.simpleString()
+    posted = heads.select(F.posexplode("firsts").alias("pos", "key"), "id", "n")
+    hot = stage(posted.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > part))
+    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    zero = F.lit(0)
+
+    def met(buckets: DataFrame) -> DataFrame:
+        rows = buckets.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "id", "n", "pos")
+        return rows.mapInArrow(_bucket_pairs(similarity, meets), f"a {kind}, b {kind}, need int")
+
+    buckets = posted.select("key", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "n", "pos")
+    if hot.isEmpty():
+        meetings = met(buckets)
+    else:
+        # A bucket of more than ``part`` sets is cut into c parts; block (i, j) compares part i with part j, (i, i) with itself.
+        c = F.ceil(F.col("m") / part).cast("int")
+        own = F.pmod(F.xxhash64("id"), c).cast("int")
+        blocks = (
+            posted.join(hot, "key")
+            .select("key", "id", "n", "pos", c.alias("c"), own.alias("own"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "pos")
+        )
+        meetings = met(buckets.join(hot, "key", "left_anti")).unionByName(met(blocks))
+    counted = meetings.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("m"), F.min("need").alias("need"))
+    candidates = counted.filter("a <> b AND m >= need").select("a", "b")
+    side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    close = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_close_sketches(similarity), f"a {kind}, b {kind}")
+    pairs = stage(close)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = sets.select("id", "shingles").join(wanted, "id", "left_semi")
+    few = _shingle_sets(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), words)
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(few.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -279,29 +311,38 @@ def similar_classes(sets: DataFrame, similarity: float, part: int) -> DataFrame:
         .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("all"))
         .filter(F.col("common") >= similarity * F.col("all"))
         .select("a", "b")
-        .distinct()
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, similarity: float = 0.8, count: int = 96, rows: int = 4, part: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, class_id) of every text with a shingle, and (a, b) of similar pairs of classes.
+def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, similarity: float = 0.8, meets: int = 4, sample: int = 8000, part: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, class_id) of every text with a shingle, and (a, b) of all pairs of classes of at least ``similarity``.
 
-    A class is a set of texts with the same shingles, named by its smallest id.  The filter is exact within buckets;
-    two classes of similarity s miss each other with probability (1 - s^rows)^count: with the defaults 2e-10 at
-    0.8, 1e-4 at 0.55 and 2e-3 at 0.5, so lower thresholds want fewer rows or more bands.  Texts that are null or
-    shorter than a shingle are in no class; repeated rows count once.  Hot classes cost one comparison; hot buckets are cut into blocks.
+    A class is a set of texts with the same shingles, named by its smallest id.  No similar pair is lost.  ``sample`` texts
+    settle which shingles count as usual and come last in the order.  Texts that are null or shorter than a shingle are in
+    no class; repeated rows count once; ids are taken to name one text each.  Hot classes cost one comparison; hot buckets are cut into blocks.
     """
-    prints = stage(fingerprints(df, id_col, text, words, count, rows))
+    texts = df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+    prints = stage(fingerprints(texts, words, similarity, meets, sample))
     classes = prints.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = stage(prints.select("id", "set_key").join(classes, "set_key").select("id", "class_id").distinct())
-    heads = prints.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
-    return members, similar_classes(heads, similarity, part)
+    heads = prints.join(members.filter("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return members, similar_classes(heads, texts, words, similarity, meets, part)
 
 
-def expand(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(text_a, text_b), text_a < text_b: every pair of similar texts, those of one class included."""
-    one = members.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
-    two = members.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    between = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("text_a"), F.greatest("x", "y").alias("text_b"))
-    inside = one.join(two, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("text_a"), F.col("y").alias("text_b"))
-    return between.unionByName(inside)
+def expand(members: DataFrame, links: DataFrame, part: int = 1000) -> DataFrame:
+    """(text_a, text_b), text_a < text_b: every pair of similar texts, those of one class included.
+
+    The pairs of a class, and those of two linked classes, are as many as its texts squared; a class is cut into parts of
+    about ``part`` texts, so that no task pairs more than a part with a part.
+    """
+    sizes = members.groupBy("class_id").agg(F.ceil(F.count("*") / part).cast("int").alias("c"))
+    cut = members.join(sizes, "class_id").withColumn("p", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    one = cut.select(F.col("class_id").alias("a"), F.col("p").alias("pa"), F.col("id").alias("x"))
+    two = cut.select(F.col("class_id").alias("b"), F.col("p").alias("pb"), F.col("id").alias("y"))
+    spans = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    of = lambda x: sizes.select(F.col("class_id").alias(x), F.col("c").alias(f"c{x}"))
+    linked = links.join(of("a"), "a").join(of("b"), "b").withColumn("pa", spans("ca")).withColumn("pb", spans("cb"))
+    between = linked.join(one, ["a", "pa"]).join(two, ["b", "pb"]).select("x", "y")
+    own = of("a").withColumn("pa", spans("ca")).withColumn("b", F.col("a")).withColumn("pb", spans("ca"))
+    inside = own.join(one, ["a", "pa"]).join(two, ["b", "pb"]).filter("x < y").select("x", "y")
+    return between.unionByName(inside).select(F.least("x", "y").alias("text_a"), F.greatest("x", "y").alias("text_b"))

@@ -16,7 +16,24 @@ codes AS (
   FROM flat),
 """
 
+_TEXTS6 = r"""
+WITH words AS (SELECT text_id, regexp_extract_all(lower(concat(abstract, ' ', claim_1)), '[\pL\pN]+') AS w FROM patent_text
+  WHERE regexp_replace(coalesce(abstract, ''), '[\s\x{A0}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g') <> '' AND regexp_replace(coalesce(claim_1, ''), '[\s\x{A0}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g') <> ''),
+sets AS (SELECT text_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS s FROM words WHERE len(w) >= 3),
+"""
+_PAIRS6 = """
+pairs AS (SELECT a.text_id AS text_a, b.text_id AS text_b, len(list_intersect(a.s, b.s)) AS inter, len(a.s) + len(b.s) AS total FROM sets a JOIN sets b ON a.text_id < b.text_id AND len(a.s) * 2 >= len(b.s) AND len(b.s) * 2 >= len(a.s)),
+near AS (SELECT text_a, text_b FROM pairs WHERE 2 * inter >= total - inter)
+"""
+_WINDOWS9 = lambda t, k: rf"SELECT {k}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM (SELECT {k}, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM {t}) WHERE len(w) >= 12"
+
 ORACLE: dict[str, str] = {
+    "p6_found": _TEXTS6 + _PAIRS6 + "SELECT text_a, text_b FROM near",
+    "p6_classes": _TEXTS6 + _PAIRS6 + """, classes AS (SELECT text_id, min(text_id) OVER (PARTITION BY s) AS class_id FROM sets),
+ends AS (SELECT text_a AS x, text_b AS y FROM near UNION ALL SELECT text_b, text_a FROM near),
+links AS (SELECT c.class_id, count(DISTINCT d.class_id) AS links FROM ends JOIN classes c ON x = c.text_id JOIN classes d ON y = d.text_id WHERE c.class_id <> d.class_id GROUP BY 1)
+SELECT text_id, class_id, coalesce(links, 0) AS links FROM classes LEFT JOIN links USING (class_id)""",
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS9('documents', 'doc_id')}) JOIN ({_WINDOWS9('eval_items', 'item_id')}) USING (g)",
     "p2_found": rf"""
 WITH docs AS (
   SELECT regexp_replace(application_number, '[\s\x{{A0}}]+', '', 'g') AS application_number, rec_id, fetched_at,
