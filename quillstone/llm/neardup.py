@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +34,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Texts to sorted arrays of 64-bit hashes of their distinct word sequences."""
-
-    def __init__(self, words: int, keep: int = 500_000) -> None:
-        self.words, self.keep, self.known = words, keep, {}
+class _Hashes(dict):
+    """The 64-bit hash of each word; forgets all when it has grown to half a million."""
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        known, out = self.known, []
-        for w in _WORD.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        if len(out) < self.words:
-            return np.zeros(0, np.uint64)
-        h = np.array(out, np.uint64)
-        n = len(h) - self.words + 1
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+class Shingler:
+    """Texts to the sorted arrays of 64-bit hashes of their distinct word sequences."""
+
+    def __init__(self, words: int) -> None:
+        self.words, self.hashes = words, _Hashes()
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all sets one after the other, their bounds: set i is from bounds[i] to bounds[i + 1])."""
+        words = [_WORD.findall(t.lower()) for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        h = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        n = max(0, len(h) - self.words + 1)
         s = np.zeros(n, np.uint64)
         for i in range(self.words):
             s = _mix(s * np.uint64(_MULTIPLIERS[i % 3]) + h[i : i + n])
-        return np.unique(s)
+        inside = owner[:n] == owner[self.words - 1 : self.words - 1 + n]
+        s, owner = s[inside], owner[:n][inside]
+        order = np.lexsort((s, owner))
+        s, owner = s[order], owner[order]
+        new = np.r_[True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])][: len(s)]
+        s, owner = s[new], owner[new]
+        return s, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """BITS parities of the set: bit b is the parity of the number of shingles that hash to b."""
-    odd = np.bincount((_mix(shingles * np.uint64(_MULTIPLIERS[1])) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little")
+def sketch(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set BITS parities: bit b is the parity of the number of its shingles that hash to b."""
+    sets = len(bounds) - 1
+    cell = np.repeat(np.arange(sets), np.diff(bounds)) * BITS + (_mix(shingles * np.uint64(_MULTIPLIERS[1])) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(cell, minlength=sets * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(sets, BITS), axis=1, bitorder="little")
 
 
 def _add(counter: list[np.ndarray], carry: np.ndarray, level: int) -> None:
@@ -117,14 +130,16 @@ def within(sketches: np.ndarray, left: np.ndarray, right: np.ndarray, radius: np
     return out
 
 
-def first_shingles(shingles: np.ndarray, similarity: float, meets: int, usual: np.ndarray, uses: np.ndarray) -> np.ndarray:
-    """32 bits of each shingle at which a similar set meets this one ``meets`` times: the first n - ceil(similarity n) + meets by (uses, hash), in that order."""
-    n = len(shingles)
-    few = n - math.ceil(similarity * n - 1e-9) + meets
+def first_shingles(shingles: np.ndarray, bounds: np.ndarray, similarity: float, meets: int, usual: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(32 bits of each set's shingles at which a similar set meets it ``meets`` times, their bounds): its first n - ceil(similarity n) + meets by (uses, hash), in that order."""
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
     if len(usual):
         at = np.minimum(np.searchsorted(usual, shingles), len(usual) - 1)
-        shingles = shingles[np.lexsort((shingles, np.where(usual[at] == shingles, uses[at], 0)))]
-    return shingles[:few].astype(np.uint32).view(np.int32)
+        shingles = shingles[np.lexsort((shingles, np.where(usual[at] == shingles, uses[at], 0), owner))]
+    few = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + meets)
+    kept = np.arange(len(shingles)) - np.repeat(bounds[:-1], n) < np.repeat(few, n)
+    return shingles[kept].astype(np.uint32).view(np.int32), np.r_[0, np.cumsum(few)]
 
 
 def usual_shingles(texts: DataFrame, words: int, sample: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +153,8 @@ def usual_shingles(texts: DataFrame, words: int, sample: int, least: int = 3) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            sets = [shingler(t) for t in b.column(0).to_pylist()]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+            for lo in range(0, b.num_rows, 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(shingler(b.column(0).slice(lo, 1000).to_pylist())[0].view(np.int64))], names=["s"])
 
     rows = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toPandas()  # at most the shingles of ``sample`` texts / ``least``
     usual = rows.s.to_numpy(np.int64).view(np.uint64)
@@ -160,19 +174,19 @@ def fingerprints(texts: DataFrame, words: int, similarity: float, meets: int, sa
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                sets = [shingler(t) for t in part.column(1).to_pylist()]
-                keep = [i for i, s in enumerate(sets) if len(s)]
-                if not keep:
+                flat, bounds = shingler(part.column(1).to_pylist())
+                keep = np.flatnonzero(np.diff(bounds))
+                if not len(keep):
                     continue
-                sets = [sets[i] for i in keep]
-                firsts = [first_shingles(s, similarity, meets, usual, uses) for s in sets]
+                bounds = np.r_[bounds[keep], len(flat)]
+                firsts, edges = first_shingles(flat, bounds, similarity, meets, usual, uses)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(keep)),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts))),
+                        pa.array([xxhash.xxh3_128_digest(flat[i:j].tobytes()) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()),
+                        pa.array(np.diff(bounds).astype(np.int32)),
+                        pa.array([x.tobytes() for x in sketch(flat, bounds)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(firsts)),
                     ],
                     names=["id", "set_key", "n", "sketch", "firsts"],
                 )
@@ -181,13 +195,20 @@ def fingerprints(texts: DataFrame, words: int, similarity: float, meets: int, sa
     return spread(texts).mapInArrow(run, f"id {kind}, set_key binary, n int, sketch binary, firsts array<int>")
 
 
+# What a bucket row says beside its id, in one number: size of the set and place of the shingle, 30 bits each; in a block of two parts also which part.
+_CROSS, _SIDE, _SIZE = 62, 61, 30
+
+
 def _bucket_pairs(similarity: float, meets: int, block: int = 1 << 18):
-    """Sorted rows (key, i, j, side, id, n, pos) to the pairs (a, b, need) of each bucket (key, i, j) that may be similar by their sizes and by what is left after pos.
+    """Rows (bucket, id, packed) in the order of bucket to the pairs (a, b) of each that may be similar by their sizes and by what is left after the place.
 
-    side 1 is compared with side 0 where a bucket has both (i < j), else side 0 with itself.  Pairs go out block by block.
+    In a block of two parts of a hot bucket sets of one part are compared with those of the other.  Pairs go out block by block;
+    a pair of sets so small that they need fewer meetings goes out more than once, so that it reaches the number too.
     """
 
-    def pairs(n: np.ndarray, left_over: np.ndarray, side: np.ndarray, starts: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(packed: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, pos = packed >> _SIZE & ((1 << 30) - 1), packed & ((1 << 30) - 1)
+        cross, side = packed >> _CROSS & 1 == 1, packed >> _SIDE & 1
         # All buckets at once, each in the order of size: the partners of a set are a run of those after it.
         sizes = np.diff(np.r_[starts, len(n)])
         bucket = np.repeat(np.arange(len(starts)), sizes)
@@ -205,38 +226,35 @@ def _bucket_pairs(similarity: float, meets: int, block: int = 1 << 18):
             right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + left + 1
             a, b = at[left], at[right]
             common = np.ceil((n[a] + n[b]) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)  # what similar sets of these sizes share
-            kept = (~cross[bucket[left]] | (side[a] != side[b])) & (np.minimum(left_over[a], left_over[b]) >= common - meets + 1)
-            if kept.any():
-                yield a[kept], b[kept], np.minimum(common[kept], meets)
+            kept = (~cross[a] | (side[a] != side[b])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= common - meets + 1)
+            a, b = a[kept], b[kept]
+            if len(a):
+                times = np.maximum(meets - common[kept], 0) + 1
+                yield np.repeat(a, times), np.repeat(b, times)
             edge = stop
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            key = np.stack([t.column(c).to_numpy() for c in range(3)])
-            starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            ids = t.column(4).combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            n = t.column(5).to_numpy().astype(np.int64)
-            for a, b, need in pairs(n, n - t.column(6).to_numpy(), t.column(3).to_numpy(), starts, key[1, starts] != key[2, starts]):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(need, pa.int32())], names=["a", "b", "need"])
+        rest: list[np.ndarray] | None = None
+        kind = None
+
+        def emit(bucket: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for a, b in pairs(packed, starts):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], kind), pa.array(ids[b], kind)], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
+            kind = b.schema.field(1).type
+            rows = [b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()]
             if rest is not None:
-                t = pa.concat_tables([rest, t])
-            key = np.stack([t.column(c).to_numpy() for c in range(3)])
-            cut = np.flatnonzero((key != key[:, -1:]).any(axis=0))
-            cut = cut[-1] + 1 if len(cut) else 0  # the last bucket may go on
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
             if cut:
-                yield from emit(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from emit(rest)
+                yield from emit(*(x[:cut] for x in rows))
+            rest = [x[cut:] for x in rows]
+        if rest is not None and len(rest[0]):
+            yield from emit(*rest)
 
     return run
 
@@ -265,8 +283,8 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                sets = [shingler(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
+                flat, bounds = shingler(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "shingles"])
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
@@ -274,34 +292,36 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 def similar_classes(heads: DataFrame, texts: DataFrame, words: int, similarity: float, meets: int, part: int) -> DataFrame:
     """(a, b), a < b: pairs of the fingerprints ``heads`` of at least ``similarity``, verified on the shingles of their texts."""
     kind = heads.schema["id"].dataType.simpleString()
-    posted = heads.select(F.posexplode("firsts").alias("pos", "key"), "id", "n")
+    packed = F.shiftleft(F.col("n").cast("long"), _SIZE).bitwiseOR(F.col("pos").cast("long"))
+    posted = heads.select(F.posexplode("firsts").alias("pos", "key"), "id", "n").select("key", "id", packed.alias("packed"))
     hot = stage(posted.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > part))
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    zero = F.lit(0)
 
     def met(buckets: DataFrame) -> DataFrame:
-        rows = buckets.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "id", "n", "pos")
-        return rows.mapInArrow(_bucket_pairs(similarity, meets), f"a {kind}, b {kind}, need int")
+        rows = buckets.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "id", "packed")
+        return rows.mapInArrow(_bucket_pairs(similarity, meets), f"a {kind}, b {kind}")
 
-    buckets = posted.select("key", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "n", "pos")
+    plain = F.col("key").cast("long").alias("bucket")
     if hot.isEmpty():
-        meetings = met(buckets)
+        meetings = met(posted.select(plain, "id", "packed"))
     else:
         # A bucket of more than ``part`` sets is cut into c parts; block (i, j) compares part i with part j, (i, i) with itself.
         c = F.ceil(F.col("m") / part).cast("int")
         own = F.pmod(F.xxhash64("id"), c).cast("int")
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        marks = F.when(i < j, F.lit(1 << _CROSS)).otherwise(0).bitwiseOR(F.when(F.col("own") > F.col("other"), F.lit(1 << _SIDE)).otherwise(0))
         blocks = (
             posted.join(hot, "key")
-            .select("key", "id", "n", "pos", c.alias("c"), own.alias("own"))
+            .select("key", "id", "packed", c.alias("c"), own.alias("own"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "pos")
+            .select(F.xxhash64("key", i, j).alias("bucket"), "id", F.col("packed").bitwiseOR(marks).alias("packed"))
         )
-        meetings = met(buckets.join(hot, "key", "left_anti")).unionByName(met(blocks))
-    counted = meetings.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("m"), F.min("need").alias("need"))
-    candidates = counted.filter("a <> b AND m >= need").select("a", "b")
+        meetings = met(posted.join(hot, "key", "left_anti").select(plain, "id", "packed")).unionByName(met(blocks))
+    counted = meetings.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("m"))
+    candidates = counted.filter((F.col("a") != F.col("b")) & (F.col("m") >= meets)).select("a", "b")
     side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     close = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_close_sketches(similarity), f"a {kind}, b {kind}")
-    pairs = stage(close)
+    pairs = stage(close.dropDuplicates(["a", "b"]))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = _shingle_sets(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), words)
     common = F.size(F.array_intersect("sa", "sb"))
@@ -325,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, si
     prints = stage(fingerprints(texts, words, similarity, meets, sample))
     classes = prints.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = stage(prints.select("id", "set_key").join(classes, "set_key").select("id", "class_id").distinct())
-    heads = prints.join(members.filter("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    heads = stage(prints.select("id", "n", "sketch", "firsts").join(members.filter("id = class_id").select("id"), "id", "left_semi"))
     return members, similar_classes(heads, texts, words, similarity, meets, part)
 
 

@@ -70,7 +70,7 @@ def p5_code_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    texts = table(spark, d, "patent_text").filter((survivor.strip(F.col("abstract")) != "") & (survivor.strip(F.col("claim_1")) != ""))
+    texts = table(spark, d, "patent_text").filter(survivor.holds_text(F.col("abstract")) & survivor.holds_text(F.col("claim_1")))
     return neardup.near_duplicates(texts, "text_id", F.concat_ws(" ", "abstract", "claim_1"), words=3, similarity=0.5)
 
 

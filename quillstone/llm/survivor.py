@@ -34,6 +34,11 @@ def strip(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"(?U)^[\s​-‍⁠﻿]+|[\s​-‍⁠﻿]+$", ""), F.lit(""))
 
 
+def holds_text(c: Column) -> Column:
+    """Whether a text isn't null and has more than white space and invisible characters."""
+    return F.coalesce(c.rlike(r"(?U)[^\s​-‍⁠﻿]"), F.lit(False))
+
+
 def is_stand_in(text: Column) -> Column:
     """Whether a trimmed text is empty or says only that there is no text: up to 15 words, all of STAND_IN_WORDS."""
     words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}]+"), lambda w: w != "")
