@@ -173,7 +173,7 @@ def test_token_budget(spark, vocabulary):
 def languages(spark):
     en = [f"The rotating shaft {i} of the machine is held by a bearing and moves with the lever" for i in range(40)]
     de = [f"Die Welle {i} der Maschine wird durch ein Lager gehalten und bewegt sich mit dem Hebel" for i in range(40)]
-    return spark.createDataFrame([(t, "EN " if i % 2 else "en-AU") for i, t in enumerate(en)] + [(t, "de") for t in de] + [(None, "en"), ("x", None), ("kurz", "fr")], "text string, lang string")
+    return spark.createDataFrame([(t, "EN " if i % 2 else "en-AU") for i, t in enumerate(en)] + [(t, "de") for t in de] + [(None, "en"), ("x", None), ("kurz", "fr"), ("Un petit appareil de mesure pour les eaux de la ville.", "fr")], "text string, lang string")
 
 
 CLAIMS = "1. A pump comprising a rotor, a stator and a casing which holds the rotor near the stator.\n\n2. The pump of claim 1, wherein the rotor has a width of between 10 and 20 mm."
@@ -194,6 +194,10 @@ PAIRS = [
     ("mrc", "Q?", CLAIMS, " \t​…", "empty"),
     ("mrc", "Q?", CLAIMS, "Answer:", "empty"),
     ("mrc", "Q?", CLAIMS, "<empty>", "empty"),
+    ("abstract_drafting", "Draft an abstract.", CLAIMS, "I'm sorry, but I can't help with that request. " * 110, "refusal"),
+    ("abstract_drafting", "Draft an abstract.", CLAIMS, "The pump declines to start while the rotor is unable to turn.", None),
+    ("mrc", "Q?", CLAIMS, "none " * 20, "empty"),
+    ("mrc", "What width does the rotor have?", CLAIMS, "between 10 and 20 m", "truncated"),
     ("abstract_drafting", "Draft", CLAIMS * 300, "A device moves fluid by turning blades. " * 3000, None),
 ]
 
@@ -206,9 +210,19 @@ def test_broken_pairs(spark, languages):
     assert set(r.defect for r in defects.broken_pairs(df, languages.limit(0)).collect()) <= {"empty", "refusal", "copy", "truncated"}
 
 
+def test_declining_is_learned(spark):
+    rng = random.Random(14)
+    said = ["I'm sorry, but I can't help with that request.", "I must decline to answer.", "Unfortunately I am unable to do this for you."]
+    tails = ["You may wish to contact the patent office.", "I hope you understand."]
+    data = [(CLAIMS, rng.choice(said) + " " + rng.choice(tails)) for _ in range(40)] + [(CLAIMS, f"A device with {i} blades moves fluid inside a housing. It cannot be opened by hand.") for i in range(80)]
+    model = defects.train_declining(spark.createDataFrame([*data, (None, None), (None, "")], "input string, output string"))
+    assert model.is_refusal("I hope you understand. I must decline to help.", CLAIMS) and not model.is_refusal("It cannot be opened by hand.", CLAIMS)
+    assert model.is_refusal("I must decline to answer. " * 500, CLAIMS) and not model.is_refusal("I must decline to answer. " + "A device moves fluid inside a housing. " * 5, CLAIMS)
+
+
 def test_language_model_on_held_out_texts(spark, languages):
     model = defects.train_languages(languages)
-    assert model.names == ["de", "en"]
+    assert model.names == ["de", "en", "und"]
     assert model.differ("Der Hebel bewegt die Welle der Maschine", "The lever moves the shaft of the machine") and not model.differ("The lever holds a bearing", "A bearing is held by the shaft")
 
 
