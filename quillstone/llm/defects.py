@@ -85,10 +85,12 @@ class DecliningModel:
 
     def is_refusal(self, text: str, given: str) -> bool:
         """Whether half of the text or more, by length, declines in words that are mostly not those of what was given."""
-        known = set(_WORD.findall(given.lower()))
         parts = sentences(text)
-        said = sum(len(x) for x in parts if self.declines(x) and foreign_share(x, known) >= 0.5)
-        return 2 * said >= sum(map(len, parts)) > 0
+        said = [x for x in parts if self.declines(x)]
+        if 2 * sum(map(len, said)) < sum(map(len, parts)) or not said:
+            return False
+        known = set(_WORD.findall(given.lower()))
+        return 2 * sum(len(x) for x in said if foreign_share(x, known) >= 0.5) >= sum(map(len, parts))
 
 
 def train_declining(pairs: DataFrame) -> DecliningModel:
@@ -123,7 +125,7 @@ def train_declining(pairs: DataFrame) -> DecliningModel:
 
 def shingles(text: str, n: int = 3) -> set[tuple[str, ...]]:
     """Word triples; an ideograph or syllable counts as a word."""
-    words = _CHAR_WORD.findall(text.lower())
+    words = (_WORD if text.isascii() else _CHAR_WORD).findall(text.lower())
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
@@ -310,7 +312,7 @@ def is_truncated(kind: str, text: str, given: str, endings: EndModel, least: flo
     if kind != "mrc" or closed:
         return likely < (2 * least if closed else least)
     last = " ".join(words[-2:]).lower()
-    known = set(_WORD.findall(given.lower()))
+    known = set(_WORD.findall(given.lower()))  # only bare phrases get here
     cut = _WORD.findall(words[-1].lower())[-1:]
     if cut and cut[0] not in known and any(w.startswith(cut[0]) for w in known):  # inside a word
         return True
