@@ -69,6 +69,21 @@ def test_source_quality_learns_who_lies(spark):
     kept = [(r.value[0] == "t") == (r.p_true >= 0.5) for r in judged.collect()]
     assert sum(kept) / len(kept) > 0.9
     assert survivor.source_quality(df.limit(0), ["good"])[1].count() == 0
+    # The same by aggregation, and with any number of sources.
+    again, spread_out = survivor.source_quality(df, ["good", "fair", "bad"], rounds=12, driver_sources=1)
+    once, _ = survivor.source_quality(df, ["good", "fair", "bad"], rounds=12)
+    assert all(abs(a - b) < 1e-6 for s in once for a, b in zip(once[s], again[s])) and spread_out.count() == judged.count()
+    many = [f"s{i}" for i in range(20)]
+    wide = spark.createDataFrame([(f"e{e}", v, s) for e in range(60) for v in ("t", "f") for i, s in enumerate(many) if rng.random() < ((0.9 if i < 15 else 0.5) if v == "t" else (0.1 if i < 15 else 0.5))], "entity string, value string, source string")
+    kept = {(r.entity, r.value): r.p_true >= 0.5 for r in survivor.source_quality(wide, many, rounds=15)[1].collect()}
+    assert all(k == (v == "t") for (_, v), k in kept.items())
+
+
+def test_stand_ins_are_judged_by_the_model(spark):
+    data = [(i, str(i), "2024", [doc("A1", "No abstract." if i % 4 == 0 else f"A pump number {i} with a rotor and a stator.", ["A pump with a rotor and a stator."]), doc("A2", "None. " * 100 if i % 8 == 0 else "", ["c"])]) for i in range(80)]
+    df = clean(spark, data).withColumn("invention_title", F.lit("Pump"))
+    got = {r.application_number: r.abstract_pos for r in survivor.best_documents(df).collect()}
+    assert got == {str(i): -1 if i % 4 == 0 else 0 for i in range(80)}
 
 
 # 5: terms
