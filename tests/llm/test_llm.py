@@ -91,7 +91,7 @@ def test_stand_ins_are_judged_by_the_model(spark):
 
 @pytest.mark.parametrize(
     "raw,code",
-    [("A01B 1/02", "A01B1/02"), (" h61n 90 / 59 ", "H61N90/59"), ("G59K0028590000", "G59K28/59"), ("A01B0001000000", "A01B1/00"), ("B32B 82/58 (2018.01)", "B32B82/58"), ("H43H 28/33", "H43H28/33"), ("unknown", None), ("-", None), ("", None), (None, None), ("A01B", None)],
+    [("A01B 1/02", "A01B1/02"), (" h61n 90 / 59 ", "H61N90/59"), ("G59K0028590000", "G59K28/59"), ("A01B1234567890", "A01B1234/56789"), ("A01B0000000000", "A01B0/00"), ("a01b 0001/02", "A01B1/02"), ("A01B00001234/02", "A01B1234/02"), ("A01B12345/02", None), ("A01B0001000000", "A01B1/00"), ("B32B 82/58 (2018.01)", "B32B82/58"), ("H43H 28/33", "H43H28/33"), ("unknown", None), ("-", None), ("", None), (None, None), ("A01B", None)],
 )
 def test_canonical_code(spark, raw, code):
     assert spark.createDataFrame([(raw,)], "x string").select(terms.canonical_code(F.col("x")).alias("y")).first().y == code
@@ -107,8 +107,9 @@ def test_term_counts_hot_and_split(spark):
             uses[t] += 1
             members[t].add(m)
     want = sorted((t, n, len(members[t])) for t, n in uses.items())
-    for split in (10**6, 100):
-        assert rows(terms.term_counts(df, bits=3, split_rows=split)) == want
+    for bits, split in ((3, 10**6), (3, 100), (1, 40), (2, 7)):
+        assert rows(terms.term_counts(df, bits=bits, split_rows=split)) == want
+    assert rows(terms.term_counts(df.withColumn("uses", F.lit(2)))) == [(t, 2 * n, m) for t, n, m in want]
     assert terms.term_counts(df.limit(0)).count() == 0
 
 
