@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillstone.functions.stem import porter
-from quillstone.functions.text import containment_form, let, tokens
+from quillstone.functions.text import containment_form, let, occurrences, tokens
 
 
 def token_f1(reference: Column, candidate: Column) -> Column:
     """F1 of the words both have, counted with repeats; 0 where either has none."""
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    both = lambda a, b: F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
-    score = lambda a, b: F.coalesce(F.try_divide(2.0 * both(a, b), F.size(a) + F.size(b)), F.lit(0.0))
-    return let(tokens(reference), lambda a: let(tokens(candidate), lambda b: score(a, b)))
+    return counted_f1(tokens(reference), tokens(candidate))
+
+
+def counted_f1(reference: Column, candidate: Column) -> Column:
+    """F1 of the elements two arrays share, counted with repeats; 0 where neither has any."""
+    score = lambda a, b: F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
+    return let(occurrences(reference), lambda a: let(occurrences(candidate), lambda b: score(a, b)))
 
 
 def answer_contained(answer: Column, context: Column) -> Column:

@@ -45,6 +45,17 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(present(c)), r"(?U)\s+"), lambda w: w != "")
 
 
+def occurrences(words: Column) -> Column:
+    """The words with the number of each occurrence, so that sets of them are counted with repeats; linear in the words."""
+
+    def numbered(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = lambda at: F.transform(at, lambda a, j: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(at, j + 1), F.size(s)) - a), lambda k: F.concat_ws(" ", F.get(s, a), k.cast("string"))))
+        return F.when(F.size(s) > 0, F.flatten(let(starts, runs))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.sort_array(words), numbered)
+
+
 def containment_form(c: Column) -> Column:
     return collapse(F.lower(present(c)))
 
@@ -66,7 +77,7 @@ def first_claim(claims: Column) -> Column:
 
 def normalized_claims_text(c: Column) -> Column:
     """Claims text with headers and preambles removed, glued numbers set apart and white space collapsed."""
-    t = F.translate(present(c), "\f\u000e", "  ")
+    t = F.translate(present(c), f"\f\u000e{_START}{_NUMBER_END}", "    ")  # the last two mark claims below
     for pattern, to in (
         (rf"(?iU){PCT_HEADER}", " "),
         (r"(?iU)CLAIMS(?=\d|What)", "CLAIMS "),
@@ -87,7 +98,7 @@ def _body(c: Column) -> Column:
 def _claims_at(text: Column, pattern: str, lead: str | None = None) -> Column:
     """array<struct<n,body>> of the claims that begin at matches of ``pattern`` (group 1: the number)."""
     marked = F.regexp_replace(text, pattern, f"{_START}$1{_NUMBER_END}")
-    chunks = F.slice(F.split(marked, _START), 2, 100_000)
+    chunks = F.filter(F.split(marked, _START), lambda _, i: i > 0)
 
     def claim(chunk: Column) -> Column:
         body = _body(F.substring_index(chunk, _NUMBER_END, -1))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import tsv_field
-from quillstone.operators.relate import running_number
+from quillstone.operators.relate import small
 from quillstone.sources.jsonl import ranked
 
 # The constant date of classifier inputs and the form of a predicted label.
@@ -19,8 +19,10 @@ LABEL = r"(\S+)\s+\(([0-9.]+)\)"
 
 def claim_inputs(claims: DataFrame, key: str, text: str, order: list[str]) -> DataFrame:
     """(key, claim_seq, id, text, row_index): running number within the key, ``key__seq`` as id, a global ordinal."""
-    numbered = running_number(claims, key, order).withColumn("id", F.concat_ws("__", key, "claim_seq"))
-    return ranked(numbered.select(key, "claim_seq", "id", tsv_field(F.col(text)).alias("text")), [key, "claim_seq"], "row_index")
+    rows = ranked(claims, [key, *order], "row_index")
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("row_index").alias("_first"))
+    numbered = rows.join(small(first), F.col(key) == F.col("_key")).withColumn("claim_seq", F.col("row_index") - F.col("_first") + 1)
+    return numbered.select(key, "claim_seq", F.concat_ws("__", key, "claim_seq").alias("id"), tsv_field(F.col(text)).alias("text"), "row_index")
 
 
 def input_tsv(inputs: DataFrame, placeholder: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.ipc import SYMBOL, normalize_ipc
-from quillstone.functions.text import containment_form, tokens
+from quillstone.functions.overlap import counted_f1
+from quillstone.functions.text import containment_form, let, tokens
 
 LEVELS = ["section", "class", "subclass", "group", "full"]
 
@@ -28,17 +29,16 @@ def hierarchy_accuracy(df: DataFrame, truth: Column, guess: Column) -> DataFrame
 
 
 def ngrams(c: Column, n: int) -> Column:
-    words = tokens(c)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")) if n > 1 else words
+    """Runs of n words; none where there are fewer."""
+    if n == 1:
+        return tokens(c)
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return let(tokens(c), lambda words: F.when(F.size(words) >= n, runs(words)).otherwise(F.array().cast("array<string>")))
 
 
 def ngram_f1(reference: Column, candidate: Column, n: int) -> Column:
     """F1 of word n-grams, counted with repeats; 0 where either text has fewer than n words."""
-    a, b = ngrams(reference, n), ngrams(candidate, n)
-    times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
-    long = (F.size(tokens(reference)) >= n) & (F.size(tokens(candidate)) >= n)
-    return F.when(long, 2.0 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+    return counted_f1(ngrams(reference, n), ngrams(candidate, n))
 
 
 def exact_match(reference: Column, candidate: Column) -> Column:

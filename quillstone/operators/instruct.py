@@ -76,6 +76,27 @@ def generate(df: DataFrame, make_chat: Callable[[], Chat], prompt: str, kind: ty
     return df.mapInPandas(run, schema)
 
 
+#: The tasks in the order in which runs over all of them take place.
+TASKS = ("ipc_reasoning", "abstract_drafting", "mrc")
+
+
+def with_task(df: DataFrame, task: Column) -> DataFrame:
+    """Records whose missing or empty task is filled with the one they were kept under."""
+    return df.withColumn("task", F.coalesce(F.nullif(F.col("task"), F.lit("")), task))
+
+
+def all_tasks(frames: dict[str, DataFrame], order: Sequence[str] = TASKS) -> DataFrame:
+    """The records of all tasks as one table, with ``task_order``: the place of their task in the run; tasks that aren't in ``order`` come after, by name."""
+    names = [*(t for t in order if t in frames), *sorted(set(frames) - set(order))]
+    out = None
+    for i, name in enumerate(names):
+        part = with_task(frames[name], F.lit(name)).withColumn("task_order", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no tasks")
+    return out
+
+
 def record(task: str, instruction: Column, given: Column, output: Column, model: str, provider: str, title: Column | None = None, defined: Column | None = None) -> list[Column]:
     """The columns of an instruction record; empty codes and types are null in meta."""
     return [

@@ -23,6 +23,17 @@ def payload(most: int = 12_000) -> Column:
     return F.to_json(F.struct("task", "application_number", *texts, meta.alias("meta")))
 
 
+def messages(system: str, body: Column) -> Column:
+    """The chat that a judge is sent: array<struct<role, content>> of the instructions and a record's payload."""
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(said("system", F.lit(system)), said("user", body))
+
+
+def in_meta(rows: DataFrame, block: str) -> DataFrame:
+    """A block (``validation``, ``llm_judge``) as a member of ``meta``; a missing meta is made."""
+    return rows.withColumn("meta", F.coalesce("meta", F.from_json(F.lit("{}"), rows.schema["meta"].dataType)).withField(block, F.col(block))).drop(block)
+
+
 def parse_json_reply(reply: Column) -> Column:
     """The JSON value of a model's reply as VARIANT: without a code fence, else its outermost list, else its outermost object."""
     bare = strip(F.regexp_replace(strip(present(reply)), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.ipc import format_symbol, normalize_ipc
@@ -24,7 +24,22 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def pending(seed: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Keys of ``seed`` that aren't in ``done``; the limit counts after the anti join."""
     rest = seed.join(done.select(F.col(key)).distinct(), key, "left_anti")
-    return rest.orderBy("ord").limit(limit) if limit is not None else rest
+    return first_rows(rest, ["ord"], limit)
+
+
+def first_rows(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows in order (a limit on input or on successes); all rows without a limit, none for a limit of 0 or less."""
+    return df if limit is None else df.orderBy(*order).limit(max(0, limit))
+
+
+def until_successes(df: DataFrame, order: list[str], succeeded: Column, limit: int | None) -> DataFrame:
+    """Rows in order up to and with the one that brings the ``limit``-th success: what a run does that stops after so many."""
+    if limit is None:
+        return df
+    if limit <= 0:
+        return df.limit(0)
+    last = ranked(df.filter(succeeded).select(*order), order, "_n").filter(F.col("_n") == limit - 1).select(F.struct(*order).alias("_last"))
+    return df.join(F.broadcast(last), F.lit(True), "left").filter(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))).drop("_last")  # one row is broadcast
 
 
 def recovered(log: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -82,8 +97,11 @@ def grounding_text(title: Column, definition: Column, note: Column, code: Column
 
 
 def running_number(df: DataFrame, key: str, order: list[str], name: str = "claim_seq") -> DataFrame:
-    """1, 2, 3 ... within each key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    """1, 2, 3 ... within each key, from the rows' global ordinals, so that a key of any size is sorted by many tasks."""
+    rows = ranked(df, [key, *order], "_rank")
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_rank").alias("_first"))
+    numbered = rows.join(small(first), F.col(key).eqNullSafe(F.col("_key")))
+    return numbered.withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_key", "_first")
 
 
 def shards(df: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.ipc import normalize_ipc
+from quillstone.functions.text import is_blank
+from quillstone.operators.records import primary_texts
+from quillstone.session import stage
 
 
 def label_counts(df: DataFrame, codes: Column, distinct: bool = False) -> DataFrame:
     """(code, n): uses of each normalised code; a code twice in one record counts twice unless ``distinct``."""
-    own = F.transform(codes, normalize_ipc)
-    return df.select(F.explode(F.array_distinct(own) if distinct else own).alias("code")).filter("code <> ''").groupBy("code").agg(F.count("*").alias("n"))
+    if distinct:
+        return df.select(F.explode(F.array_distinct(F.transform(codes, normalize_ipc))).alias("code")).filter("code <> ''").groupBy("code").agg(F.count("*").alias("n"))
+    # Spellings are counted first, so the patterns run once a spelling.
+    spelled = df.select(F.explode(codes).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    return spelled.groupBy(normalize_ipc(F.col("raw")).alias("code")).agg(F.sum("n").alias("n")).filter("code <> ''")
 
 
 def frequency_of_frequency(counts: DataFrame) -> DataFrame:
@@ -34,14 +40,40 @@ def tail_summary(counts: DataFrame, few: int = 5) -> DataFrame:
     return total.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(v.cast("double"), 4).alias("value")) for k, v in rows])).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(metric, n, min, max, mean) of a column in one row; nulls don't count."""
-    return df.agg(F.lit(name).alias("metric"), F.count(value).alias("n"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), F.round(F.avg(value), 4).alias("mean"))
+def describe(df: DataFrame, values: list[str]) -> DataFrame:
+    """(metric, n, min, max, mean), a row for each column, from one pass; nulls don't count."""
+    row = lambda v: F.struct(F.lit(v).alias("metric"), F.count(v).alias("n"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"), F.round(F.avg(v), 4).alias("mean"))
+    return df.agg(F.array(*[row(v) for v in values]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
 def percentile_cap(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
     """One row, ``cap``: the inclusive, interpolated quantile; null for no values."""
-    return df.agg(F.percentile(F.col(value), q).alias("cap"))
+    return df.sparkSession.createDataFrame([(quantile(df, value, q),)], "cap double")
+
+
+def quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The exact inclusive, interpolated quantile of a column, with no task that holds more than a range of its distinct values.
+
+    Values are counted, spread by range, and only the range that the wanted ranks fall into is looked at in order; the driver gets
+    one count a range.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    spread = stage(counts.repartitionByRange("v").sortWithinPartitions("v")).withColumn("p", F.spark_partition_id())
+    sizes = sorted(spread.groupBy("p").agg(F.sum("n").alias("n")).collect())
+    total = sum(r.n for r in sizes)
+    if not total:
+        return None
+    rank = (total - 1) * q
+    low, high = int(rank), min(int(rank) + 1, total - 1)
+    found, before = {}, 0
+    for r in sizes:
+        here = [k for k in {low, high} if before <= k < before + r.n]
+        if here:
+            upto = F.sum("n").over(Window.partitionBy("p").orderBy("v")) + before
+            for k in here:
+                found[k] = spread.filter(F.col("p") == r.p).withColumn("upto", upto).filter(F.col("upto") > k).agg(F.min("v")).first()[0]
+        before += r.n
+    return found[low] + (found[high] - found[low]) * (rank - low)
 
 
 def clip(df: DataFrame, values: list[str], q: float = 0.99) -> DataFrame:
@@ -49,7 +81,10 @@ def clip(df: DataFrame, values: list[str], q: float = 0.99) -> DataFrame:
 
     The quantiles are one row of scalars, read first, so the filter is a plain comparison.
     """
-    caps = df.agg(*[F.percentile(F.col(v), q).alias(v) for v in values]).first()
+    # Whole numbers have few distinct values (sizes and counts); others go through the ranges of ``quantile``.
+    whole = [v for v in values if df.schema[v].dataType.simpleString() in ("int", "smallint", "tinyint")]
+    some = df.agg(*[F.percentile(F.col(v), q).alias(v) for v in whole]).first() if whole else {}
+    caps = {v: some[v] if v in whole else quantile(df, v, q) for v in values}
     keep = F.lit(True)
     for v in values:
         keep = keep & (F.col(v) <= F.lit(caps[v]))
@@ -88,6 +123,26 @@ def histogram_2d(df: DataFrame, x: str, y: str, q: float = 0.99, grid: int = 20)
     return kept.groupBy(cell(x, e[0], e[1]).alias("x_bin"), cell(y, e[2], e[3]).alias("y_bin")).agg(F.count("*").alias("n"))
 
 
+def coverage(clean: DataFrame) -> DataFrame:
+    """One row of counters over clean records and their primary documents: what is there and what is missing."""
+    rows = primary_texts(clean).select("doc", "ipcr_classification", F.col("application_number"))
+    claims = F.filter(F.coalesce("doc.claims", F.array().cast("array<string>")), lambda c: ~is_blank(c))
+    has = {
+        "application_number": ~is_blank(F.col("application_number")),
+        "document": F.col("doc").isNotNull(),
+        "claims": F.size(claims) > 0,
+        "abstract": ~is_blank(F.col("doc.abstract")),
+        "codes": F.coalesce(F.size("ipcr_classification"), F.lit(0)) > 0,
+    }
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"with_{k}") for k, c in has.items()]
+    return rows.agg(F.count("*").alias("records"), *counts, *[(F.count("*") - F.count_if(F.coalesce(c, F.lit(False)))).alias(f"without_{k}") for k, c in has.items()], F.coalesce(F.sum(F.size(claims)), F.lit(0)).alias("claims"))
+
+
+def marked_limit(bins: DataFrame, cap: float | None, limit: int = 512) -> DataFrame:
+    """A histogram with the column ``bert_limit``: the limit where the axis reaches it (its cap is as large), else null."""
+    return bins.withColumn("bert_limit", F.lit(limit if cap is not None and cap >= limit else None).cast("int"))
+
+
 def corpus_summary(clean: DataFrame) -> DataFrame:
     """One row over clean records: records, documents a record, mean characters of claims and abstracts a document, records with documents and with codes."""
     docs = F.coalesce("published_documents", F.array().cast(clean.schema["published_documents"].dataType))

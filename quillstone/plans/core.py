@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import ipc, overlap, text, wordpiece
 from quillstone.operators import classify, dewey, evaluate, instruct, judge, records, relate, stats, validate
 from quillstone.plans.oracle import ORACLE
-from quillstone.sinks import prediction_line
-from quillstone.sources.jsonl import json_objects
+from quillstone.session import shared_dir, stage
+from quillstone.sinks import prediction_line, shards
+from quillstone.sources.jsonl import json_objects, read_shards
 from quillstone.sources.tables import table
 from quillstone.streaming.ingest import ingest
 
@@ -125,14 +126,13 @@ def _primary_metrics(spark, d):
 
 @query
 def metric_stats(spark, d):
-    rows = _primary_metrics(spark, d)
-    parts = [stats.describe(rows, c, c) for c in ("n_claims", "abstract_chars", "mean_words")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stats.describe(_primary_metrics(spark, d), ["n_claims", "abstract_chars", "mean_words"])
 
 
 @query
 def p99_clip(spark, d):
-    return stats.clip(_primary_metrics(spark, d), ["n_claims", "abstract_chars"]).select("rec_id", "n_claims", "abstract_chars")
+    rows = stage(_primary_metrics(spark, d).select("rec_id", "n_claims", "abstract_chars"))
+    return stats.clip(rows, ["n_claims", "abstract_chars"])
 
 
 @query
@@ -147,12 +147,12 @@ def hist_equal_width(spark, d):
 
 @query
 def hist_integer(spark, d):
-    return stats.histogram_integer(_primary_metrics(spark, d), "n_claims")
+    return stats.histogram_integer(stage(_primary_metrics(spark, d).select("n_claims")), "n_claims")
 
 
 @query
 def hist_2d(spark, d):
-    return stats.histogram_2d(_primary_metrics(spark, d), "n_claims", "abstract_chars")
+    return stats.histogram_2d(stage(_primary_metrics(spark, d).select("n_claims", "abstract_chars")), "n_claims", "abstract_chars")
 
 
 @query
@@ -292,6 +292,87 @@ def hash_sample(spark, d):
     return relate.hash_sample(table(spark, d, "instructions"), "application_number", 50, 42, done)
 
 
+@query
+def catalog_built(spark, d):
+    """The catalog from its own rows taken apart: scheme entries, notes and definitions joined again, in order of the symbol."""
+    c = table(spark, d, "ipc_catalog")
+    places = c.select(F.col("ipc_code_raw").alias("symbol"), "kind", "entry_type", "edition", F.trim("title").alias("title"), F.lit(None).cast("string").alias("note"), F.lit("").alias("end_symbol"), F.struct("kind", "title", "entry_type").alias("ord"))
+    notes = c.filter("scheme_note IS NOT NULL").select(F.col("ipc_code_raw").alias("symbol"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("entry_type"), F.lit(None).cast("string").alias("edition"), F.lit(None).cast("string").alias("title"), F.col("scheme_note").alias("note"), F.lit("").alias("end_symbol"), F.struct(F.col("scheme_note").alias("kind"), "title", "entry_type").alias("ord"))
+    defined = c.filter("definition_statement IS NOT NULL").groupBy(F.col("ipc_code_raw").alias("symbol")).agg(F.max("definition_statement").alias("definition_statement"))
+    return relate.build_catalog(places.unionByName(notes), defined).select("ipc_code_raw", "ipc_code", "kind", "title", "scheme_note", "definition_statement", "has_definition_entry")
+
+
+# Limits, runs and counters
+
+
+@query
+def input_limit(spark, d):
+    """The first 1000 records in order: the limit is the feature."""
+    return relate.first_rows(table(spark, d, "patent_text").select("text_id", "application_number"), ["text_id"], 1000)
+
+
+@query
+def success_limit(spark, d):
+    """Records in order up to the 100th that passes the checks: the limit is the feature."""
+    rows = table(spark, d, "instructions").select("row_id", "output")
+    return relate.until_successes(rows, ["row_id"], ~text.is_blank(F.col("output")), 100)
+
+
+@query
+def tasks_backfilled(spark, d):
+    """Records without a task take that of the shape of their input."""
+    guess = F.when(F.col("instruction").endswith("?"), "mrc").when(F.col("input").startswith("Abstract:"), "ipc_reasoning").otherwise("abstract_drafting")
+    return instruct.with_task(table(spark, d, "instructions"), guess).select("row_id", "task")
+
+
+@query
+def tasks_in_order(spark, d):
+    """All tasks in one run: records and their places by task."""
+    i = table(spark, d, "instructions")
+    frames = {t: i.filter(F.lower(F.trim("task")) == t) for t in instruct.TASKS}
+    return instruct.all_tasks(frames).groupBy("task_order", "task").agg(F.count("*").alias("n"))
+
+
+@query
+def coverage_counters(spark, d):
+    return stats.coverage(_clean(spark, d))
+
+
+@query
+def bert_limit_mark(spark, d):
+    """Words of abstracts as a histogram that says where the limit of a classifier's input lies."""
+    words = stage(table(spark, d, "patent_text").select(F.size(text.tokens(F.col("claims_text"))).cast("int").alias("words")))
+    return stats.marked_limit(stats.histogram_integer(words, "words"), stats.quantile(words.filter("words > 0"), "words", 0.99))
+
+
+@query
+def judge_messages(spark, d):
+    """What a judge is sent: two messages a record, the second with the payload."""
+    m = judge.messages("Judge the record.", judge.payload())
+    return table(spark, d, "instructions").select("row_id", m.alias("m")).select("row_id", F.size("m").cast("long").alias("messages"), F.get("m", F.lit(0))["content"].alias("system"), F.get_json_object(F.get("m", F.lit(1))["content"], "$.application_number").alias("application_number"), F.length(F.get_json_object(F.get("m", F.lit(1))["content"], "$.input")).cast("long").alias("chars"))
+
+
+@query
+def meta_blocks(spark, d):
+    """The verdict as a member of meta, beside what was there."""
+    v = judge.in_meta(validate.validate(table(spark, d, "instructions"), rouge=False), "validation")
+    return v.select("row_id", F.col("meta.primary_ipc").alias("primary_ipc"), F.col("meta.validation.passed").alias("passed"))
+
+
+@query
+def shards_written(spark, d):
+    """Texts written in numbered shards, continued, and read again: lines by shard."""
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = table(spark, d, "patent_text").select("text_id", "application_number")
+    shards.write_shards(rows.filter("text_id % 2 = 0"), folder, ["text_id"], 1000)
+    shards.write_shards(rows.filter("text_id % 2 <> 0"), folder, ["text_id"], 1000, mode="append")
+    back = read_shards(spark, folder).select("shard", F.try_variant_get("v", "$.text_id", "long").alias("text_id"))
+    out = stage(back.groupBy("shard").agg(F.count("*").alias("n"), F.min("text_id").alias("first"), F.max("text_id").alias("last")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 # Codes and validation
 
 
@@ -577,9 +658,10 @@ def mrc_records(spark, d):
 @query
 def stream_ingest(spark, d):
     """Events read as a stream into a table, in one run that stops when all is read."""
-    from quillstone.session import shared_dir
-
-    base = tempfile.mkdtemp(dir=shared_dir(spark).removeprefix("file:").replace("//", "/")) if shared_dir(spark).startswith(("/", "file:")) else f"{shared_dir(spark)}/ingest"
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     source = f"{d}/events.parquet"
     ingest(spark, source, spark.read.parquet(source).schema, f"{base}/out", f"{base}/log").awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+    counts = stage(spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return counts

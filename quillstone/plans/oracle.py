@@ -223,5 +223,30 @@ SELECT n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n - (r * p
     "kept_label_counts": f"SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM ({_KEPT})) GROUP BY 1",
     "label_accuracy": f"SELECT round(sum(list_sum(list_transform(scores, lambda x, i: ((x > 0.1) = (i - 1 = label))::INT)))::DOUBLE / sum(len(scores)), 6) AS accuracy FROM ({_SCORES})",
     "json_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT'",
+    "catalog_built": f"""
+WITH best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ipc_code_raw ORDER BY list_position(['s','c','u','m','1','2','3','4','5','6','7','8','9'], kind) DESC, kind, trim(title), entry_type NULLS FIRST) AS o
+  FROM ipc_catalog WHERE kind IN ('s','c','u','m','1','2','3','4','5','6','7','8','9') AND trim(title) <> '') WHERE o = 1),
+extra AS (SELECT ipc_code_raw, string_agg(scheme_note, ' ' ORDER BY scheme_note, title NULLS FIRST) AS scheme_note, max(definition_statement) AS definition_statement FROM ipc_catalog GROUP BY 1)
+SELECT b.ipc_code_raw, CASE WHEN length(b.ipc_code_raw) = 14 AND TRY_CAST(b.ipc_code_raw[5:8] AS INT) IS NOT NULL
+  THEN concat(b.ipc_code_raw[1:4], CAST(CAST(b.ipc_code_raw[5:8] AS INT) AS VARCHAR), '/', CASE WHEN rtrim(b.ipc_code_raw[9:14], '0') = '' THEN '00' ELSE rtrim(b.ipc_code_raw[9:14], '0') END) ELSE b.ipc_code_raw END AS ipc_code,
+  b.kind, trim(b.title) AS title, e.scheme_note, e.definition_statement, e.definition_statement IS NOT NULL AS has_definition_entry FROM best b JOIN extra e ON b.ipc_code_raw = e.ipc_code_raw""",
+    "input_limit": "SELECT text_id, application_number FROM patent_text ORDER BY text_id LIMIT 1000",
+    "success_limit": f"SELECT row_id, output FROM instructions WHERE row_id <= coalesce((SELECT row_id FROM instructions WHERE {_STRIP('output')} <> '' ORDER BY row_id LIMIT 1 OFFSET 99), 9223372036854775807)",
+    "tasks_backfilled": "SELECT row_id, coalesce(nullif(task, ''), CASE WHEN ends_with(instruction, '?') THEN 'mrc' WHEN starts_with(input, 'Abstract:') THEN 'ipc_reasoning' ELSE 'abstract_drafting' END) AS task FROM instructions",
+    "tasks_in_order": "SELECT (list_position(['ipc_reasoning', 'abstract_drafting', 'mrc'], lower(trim(task))) - 1)::INT AS task_order, task, count(*) AS n FROM instructions WHERE lower(trim(task)) IN ('ipc_reasoning', 'abstract_drafting', 'mrc') GROUP BY ALL",
+    "coverage_counters": f"""
+WITH t AS (SELECT {_STRIP('c.application_number')} <> '' AS a, q.d IS NOT NULL AS b, coalesce(len({_CLAIMS}), 0) AS n, {_STRIP('d.abstract')} <> '' AS e, coalesce(len(c.ipcr_classification), 0) > 0 AS f
+  FROM patent_clean c LEFT JOIN ({_PRIMARY}) q ON c.rec_id = q.rec_id)
+SELECT count(*) AS records, count(*) FILTER (a) AS with_application_number, count(*) FILTER (b) AS with_document, count(*) FILTER (n > 0) AS with_claims, count(*) FILTER (e) AS with_abstract, count(*) FILTER (f) AS with_codes,
+  count(*) FILTER (NOT a) AS without_application_number, count(*) FILTER (NOT b) AS without_document, count(*) FILTER (n = 0) AS without_claims, count(*) FILTER (NOT e) AS without_abstract, count(*) FILTER (NOT f) AS without_codes, sum(n)::BIGINT AS claims FROM t""",
+    "bert_limit_mark": f"""
+WITH w AS (SELECT len({_TOKENS('claims_text')}) AS words FROM patent_text), p AS (SELECT words FROM w WHERE words > 0), k AS (SELECT quantile_cont(words, 0.99) AS cap FROM p)
+SELECT words AS value, count(*) AS n, CASE WHEN first(cap) >= 512 THEN 512 END AS bert_limit FROM p, k WHERE words <= cap GROUP BY 1""",
+    "judge_messages": """
+SELECT row_id, 2::BIGINT AS messages, 'Judge the record.' AS system, application_number, CASE WHEN length(coalesce(input, '')) > 12000 THEN 12000 - 20 + 15 ELSE length(coalesce(input, '')) END AS chars FROM instructions""",
+    "meta_blocks": f"SELECT row_id, meta.primary_ipc AS primary_ipc, len(rules) = 0 AS passed FROM ({_RULES})",
+    "shards_written": """
+WITH n AS (SELECT text_id, text_id % 2 AS odd, row_number() OVER (PARTITION BY text_id % 2 ORDER BY text_id) - 1 AS i FROM patent_text), e AS (SELECT max(i) // 1000 + 1 AS next FROM n WHERE odd = 0)
+SELECT CASE WHEN odd = 0 THEN i // 1000 ELSE next + i // 1000 END AS shard, count(*) AS n, min(text_id) AS first, max(text_id) AS last FROM n, e GROUP BY 1""",
     "stream_ingest": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }

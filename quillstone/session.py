@@ -31,7 +31,8 @@ def session(master: str = "local[8]", app: str = "quillstone", shuffle_partition
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Where the session names none (unit tests on one machine) a temporary folder is set once.
+    Where the session names none and all runs on one machine (unit tests) a temporary folder is set once; on a cluster that
+    is an error, as no folder of one machine is every executor's.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None and current.isDefined():
         return current.get()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillstone-ckpt-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(named)

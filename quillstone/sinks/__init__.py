@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import stage
+
 
 def write_jsonl(df: DataFrame, path: str, shard_size: int | None = None, mode: str = "errorifexists", gzip: bool = True) -> None:
     """JSON lines that keep null members; at most ``shard_size`` rows a file. Spark's commit makes the write atomic."""
@@ -16,7 +18,13 @@ def write_jsonl(df: DataFrame, path: str, shard_size: int | None = None, mode: s
     w.json(path)
 
 
-def write_csv(df: DataFrame, path: str, gzip: bool = False, sep: str = ",", one_file: bool = False, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, gzip: bool = False, sep: str = ",", one_file: bool = False, mode: str = "overwrite", most: int = 64 << 20) -> None:
+    """CSV or TSV with a header; ``one_file`` is for small tables only: more than ``most`` bytes by Spark's estimate are refused."""
+    if one_file:
+        df = stage(df)  # the table is made in parallel, one task only writes it
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if df.isEmpty() else df.select(F.sum(F.length(F.to_csv(F.struct(*df.columns))))).first()[0]
+        if size > most:
+            raise ValueError(f"{size} bytes are too many for one file")
     w = (df.coalesce(1) if one_file else df).write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     if gzip:
         w = w.option("compression", "gzip")

@@ -9,9 +9,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillstone.functions.text import strip
+from quillstone.session import stage
 
 SHARD = r"part-(\d+)\.jsonl(?:\.gz)?$"
 
@@ -103,6 +103,31 @@ def read_claims_csv(spark: SparkSession, path: str, id_col: str = "application_n
     return rows.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(id_col) != "") & (F.col(text_col) != ""))
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
+    """Token to id of a vocabulary file, one token a line, by its place; a repeated token keeps its last. Vocabularies are of bounded size."""
+    lines = ranked(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")), ["_start", "_line"], "id")
+    return {r.value.strip(): r.id for r in lines.orderBy("id").toLocalIterator()}
+
+
+#: The sections of the classification, a label set of their own.
+SECTIONS = list("ABCDEFGH") + ["Y"]
+
+
+def read_examples(spark: SparkSession, path: str, header: bool = True, number_of_predictions: int = -1) -> DataFrame:
+    """(group_ids, id, date, text, row_index) of a classifier's TSV: nothing is quoted, rows without a label are left out.
+
+    ``number_of_predictions`` N stops at line N counting the header, so N - 1 rows are read; a negative number reads all.
+    """
+    lines = ranked(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")), ["_start", "_line"], "_n")
+    if header:
+        lines = lines.filter("_n > 0")
+    if number_of_predictions >= 0:
+        lines = lines.filter(F.col("_n") < number_of_predictions)
+    part = F.split("value", "\t", -1)
+    named = [F.coalesce(F.get(part, i), F.lit("")).alias(n) for i, n in enumerate(("group_ids", "id", "date", "text"))]
+    return lines.select(*named, F.col("_n").alias("row_index")).filter(strip(F.col("group_ids")) != "")
+
+
 def read_labels(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(label, position) of the first column of a TSV, blanks dropped."""
     raw = spark.read.csv(path, sep="\t", header=header, quote="")
@@ -111,15 +136,26 @@ def read_labels(spark: SparkSession, path: str, header: bool = True) -> DataFram
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A global 0-based ordinal without a single-partition window: counts by range partition, then offsets.
+    """A global 0-based ordinal without a single-partition window: counts by range partition, then offsets, all in the JVM.
 
-    The driver gets one count a partition.
+    The range partitions are kept in the shared folder, so that rows are counted and numbered in the same place; the
+    driver gets one count a partition.
     """
-    spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    schema = StructType([*spread.schema.fields, StructField(name, LongType(), False)])
-    return spread.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    spread = stage(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    offsets, total = [], 0
+    for r in sorted(spread.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((r.p, total))
+        total += r.n
+    if not offsets:
+        return spread.withColumn(name, F.lit(0).cast("long")).drop("_id")
+    return spread.withColumn(name, F.create_map(*[F.lit(x) for po in offsets for x in po])[part] + place).drop("_id")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line) of a prediction text, one row a line as it stands; ``classify.predicted`` gives its labels and scores."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """(value, row_index) of a prediction text or a folder of them: lines as they stand, numbered in the order of files and lines.
+
+    ``classify.predicted`` gives a line's labels and scores, ``classify.attach_predictions`` its input.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    return ranked(lines, ["_file", "_start", "_line"], "row_index").select("value", "row_index")

@@ -32,7 +32,7 @@ def test_percentiles_and_histograms(spark):
     assert sum(r[3] for r in h) == 9 and h[0][1] == 1 and h[-1][2] == 41
     assert rows(stats.histogram(df.limit(0), "v")) == [] and rows(stats.histogram(df.filter("v = 7"), "v")) == [(0, 7.0, 7.0, 1)]
     assert sum(r[1] for r in rows(stats.histogram_integer(df, "v"))) == 9
-    d = stats.describe(df, "v", "x").first()
+    d = stats.describe(df, ["v"]).first()
     assert (d.n, d.min, d.max, d["mean"]) == (10, 1, 100, round(statistics.mean((1, 5, 7, 9, 30, 41, 2, 2, 8, 100)), 4))
 
 
