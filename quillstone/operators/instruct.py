@@ -18,8 +18,9 @@ Chat = Callable[[list[dict]], str]
 
 
 def pick(pool: Sequence[str], key: Column) -> Column:
-    """One text of a pool for each key, the same in every run."""
-    return F.element_at(F.array(*[F.lit(p) for p in pool]), F.pmod(F.xxhash64(key), F.lit(len(pool))).cast("int") + 1)
+    """One text of a pool for each key, the same in every run and engine."""
+    number = F.conv(F.substring(F.md5(present(key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*[F.lit(p) for p in pool]), (number % len(pool)).cast("int") + 1)
 
 
 def grow_pool(chat: Chat, seed: Sequence[str], size: int, ask: str, attempts: int = 20) -> list[str]:

@@ -38,8 +38,8 @@ def until_successes(df: DataFrame, order: list[str], succeeded: Column, limit: i
         return df
     if limit <= 0:
         return df.limit(0)
-    last = ranked(df.filter(succeeded).select(*order), order, "_n").filter(F.col("_n") == limit - 1).select(F.struct(*order).alias("_last"))
-    return df.join(F.broadcast(last), F.lit(True), "left").filter(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))).drop("_last")  # one row is broadcast
+    last = ranked(df.filter(succeeded).select(*order), order, "_n").filter(F.col("_n") == limit - 1).first()
+    return df if last is None else df.filter(F.struct(*order) <= F.struct(*[F.lit(last[c]).alias(c) for c in order]))
 
 
 def recovered(log: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -628,9 +628,14 @@ def bert_features(spark, d):
     return table(spark, d, "patent_text").select("text_id", w.features(F.col("claim_1")).alias("f")).select("text_id", "f.*")
 
 
+def _flat(records_):
+    """Instruction records with the members of meta as columns."""
+    return records_.select("task", "application_number", "instruction", "input", "output", "meta.*")
+
+
 @query
 def abstract_drafting_records(spark, d):
-    return instruct.abstract_drafting(records.patent_texts(_clean(spark, d)), ["Draft an abstract.", "Summarise the claims."])
+    return _flat(instruct.abstract_drafting(records.patent_texts(_clean(spark, d)), ["Draft an abstract.", "Summarise the claims."]))
 
 
 @query
@@ -642,7 +647,7 @@ def ipc_reasoning_records(spark, d):
     def chat():
         return lambda messages: '```json\n{"justification": "The claims fall under ' + messages[0]["content"].split("\n")[0][:40].replace('"', "'") + '."}\n```'
 
-    return instruct.ipc_reasoning(instruct.generate(prompts, chat, "prompt"), ["Explain the class.", "Justify the code."], "stand-in", "local")
+    return _flat(instruct.ipc_reasoning(instruct.generate(prompts, chat, "prompt"), ["Explain the class.", "Justify the code."], "stand-in", "local"))
 
 
 @query
@@ -652,7 +657,7 @@ def mrc_records(spark, d):
     def chat():
         return lambda messages: '{"question": "What is claimed?", "answer": "' + messages[0]["content"][:30].replace('"', "'").replace("\n", " ").replace("\\", " ") + '"}'
 
-    return instruct.mrc(instruct.generate(texts, chat, "prompt"), "stand-in", "local")
+    return _flat(instruct.mrc(instruct.generate(texts, chat, "prompt"), "stand-in", "local"))
 
 
 @query

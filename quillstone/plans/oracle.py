@@ -250,3 +250,17 @@ WITH n AS (SELECT text_id, text_id % 2 AS odd, row_number() OVER (PARTITION BY t
 SELECT CASE WHEN odd = 0 THEN i // 1000 ELSE next + i // 1000 END AS shard, count(*) AS n, min(text_id) AS first, max(text_id) AS last FROM n, e GROUP BY 1""",
     "stream_ingest": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }
+
+_PICK = lambda a, b: f"CASE WHEN CAST('0x' || substr(md5(t.application_number), 1, 8) AS BIGINT) % 2 = 0 THEN '{a}' ELSE '{b}' END"
+_MADE = lambda task, instruction, given, output, model, title, defined: f"""'{task}' AS task, t.application_number AS application_number, {instruction} AS instruction, {given} AS input, {output} AS output,
+  nullif(t.primary_ipc, '') AS primary_ipc, nullif(t.document_type, '') AS document_type, '{model[0]}' AS model, '{model[1]}' AS provider, {title} AS ipc_title, {defined} AS has_definition_entry"""
+_LOOKUP = f"""SELECT * FROM (SELECT * EXCLUDE (ipc_code), {_IPC('ipc_code')} AS code, row_number() OVER (PARTITION BY {_IPC('ipc_code')} ORDER BY ipc_code_raw DESC NULLS LAST, kind DESC NULLS LAST, title DESC) AS o FROM ipc_catalog WHERE {_IPC('ipc_code')} <> '' AND trim(title) <> '')
+  WHERE o = 1 AND trim(definition_statement) <> ''"""
+_ANSWER30 = "replace(replace(replace(left(t.claims_text, 30), chr(34), chr(39)), chr(10), ' '), chr(92), ' ')"
+ORACLE |= {
+    "abstract_drafting_records": f"SELECT {_MADE('abstract_drafting', _PICK('Draft an abstract.', 'Summarise the claims.'), 't.claims_text', 't.abstract', ('none', 'none'), 'NULL::VARCHAR', 'NULL::BOOLEAN')} FROM ({ORACLE['patent_texts']}) t",
+    "ipc_reasoning_records": f"""SELECT {_MADE('ipc_reasoning', _PICK('Explain the class.', 'Justify the code.'), "concat('Abstract:', chr(10), t.abstract, chr(10), chr(10), 'Claims:', chr(10), t.claims_text)", "concat('Classification: ', l.code, chr(10), 'Justification: The claims fall under ', replace(left(concat_ws(' ', t.primary_ipc, l.title), 40), chr(34), chr(39)), '.')", ('stand-in', 'local'), 'l.title', 'l.has_definition_entry')}
+FROM ({ORACLE['patent_texts']}) t JOIN ({_LOOKUP}) l ON {_IPC('t.primary_ipc')} = l.code""",
+    "mrc_records": f"""SELECT {_MADE('mrc', "'What is claimed?'", 't.claims_text', _ANSWER30, ('stand-in', 'local'), 'NULL::VARCHAR', 'NULL::BOOLEAN')}
+FROM ({ORACLE['patent_texts']}) t WHERE NOT regexp_matches({_ANSWER30}, '[\x00-\x1F]') AND trim({_ANSWER30}) <> ''""",
+}
