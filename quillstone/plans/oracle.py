@@ -264,3 +264,10 @@ FROM ({ORACLE['patent_texts']}) t JOIN ({_LOOKUP}) l ON {_IPC('t.primary_ipc')}
     "mrc_records": f"""SELECT {_MADE('mrc', "'What is claimed?'", 't.claims_text', _ANSWER30, ('stand-in', 'local'), 'NULL::VARCHAR', 'NULL::BOOLEAN')}
 FROM ({ORACLE['patent_texts']}) t WHERE NOT regexp_matches({_ANSWER30}, '[\x00-\x1F]') AND trim({_ANSWER30}) <> ''""",
 }
+
+# JSON as text: members that are null are left out; texts beyond 12000 characters are cut.
+_MEMBER = lambda k, v: f"CASE WHEN {v} IS NOT NULL THEN concat('\"{k}\":', to_json({v})) END"
+_CUT = lambda c: f"CASE WHEN length(coalesce({c}, '')) > 12000 THEN concat(left({c}, 11980), chr(10), '…[truncated]…') ELSE coalesce({c}, '') END"
+ORACLE["judge_payload"] = f"""
+SELECT row_id, concat('{{', concat_ws(',', {_MEMBER('task', 'task')}, {_MEMBER('application_number', 'application_number')}, {', '.join(_MEMBER(k, '(' + _CUT(k) + ')') for k in ('instruction', 'input', 'output'))},
+  concat('"meta":{{', concat_ws(',', {', '.join(_MEMBER(k, f'meta.{k}') for k in ('primary_ipc', 'ipc_title', 'has_definition_entry', 'document_type'))}), '}}')), '}}') AS payload FROM instructions"""
