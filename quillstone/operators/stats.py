@@ -81,8 +81,8 @@ def clip(df: DataFrame, values: list[str], q: float = 0.99) -> DataFrame:
 
     The quantiles are one row of scalars, read first, so the filter is a plain comparison.
     """
-    # Whole numbers have few distinct values (sizes and counts); others go through the ranges of ``quantile``.
-    whole = [v for v in values if df.schema[v].dataType.simpleString() in ("int", "smallint", "tinyint")]
+    # Whole numbers are sizes and counts here, with few distinct values, and share one pass; others go through the ranges of ``quantile``.
+    whole = [v for v in values if df.schema[v].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")]
     some = df.agg(*[F.percentile(F.col(v), q).alias(v) for v in whole]).first() if whole else {}
     caps = {v: some[v] if v in whole else quantile(df, v, q) for v in values}
     keep = F.lit(True)
