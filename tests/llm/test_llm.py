@@ -353,6 +353,57 @@ def test_scan_splits_and_merges(spark):
     assert rows(scans.scan_noise(df, [(words, "t")])) == [(1, [], mended), (2, [], "")]
 
 
+JOINT_NOISE = [
+    ("A pump and5tator", {"misread"}, "A pump and stator"),
+    ("The comp ri5ing rotor iscl aimed", {"misread"}, "The comprising rotor is claimed"),
+    ("thep ump andthestator", set(), "the pump and the stator"),
+    ("A pump and5-\ntator of sta-\nto r", {"hyphen", "misread"}, "A pump and stator of stator"),
+    ("A wedge-\nshaped zaxel oqide Nabosa pump", set(), "A wedge-shaped zaxel oqide Nabosa pump"),
+]
+
+
+def test_scan_noise_is_decoded_jointly(spark):
+    assert [scans.repair(t, LEXICON) for t, _, _ in JOINT_NOISE] == [(k, m) for _, k, m in JOINT_NOISE]
+    words = spark.createDataFrame([(" ".join(LEXICON.counts),)] * 50, "t string")
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(JOINT_NOISE)], "scan_id long, claims_text string")
+    assert rows(scans.scan_noise(df, [(words, "t")])) == [(i, [k for k in scans.KINDS if k in kinds], m) for i, (_, kinds, m) in enumerate(JOINT_NOISE)]
+
+
+def test_no_cheaper_reading_of_a_stretch_is_lost():
+    def cheapest(words):  # all edges, by brute force
+        text, ends = "".join(words), set(np.cumsum([len(w) for w in words]).tolist())
+        best = [0.0] + [np.inf] * len(text)
+        for q in range(1, len(best)):
+            for p in range(q):
+                known, inside = LEXICON.read(text[p:q]), sum(p < e < q for e in ends)
+                if known or not inside:
+                    best[q] = min(best[q], best[p] + scans._cost(text[p:q], known, LEXICON.total) + scans.MERGED * inside + scans.SPLIT * (q not in ends))
+        return best[-1]
+
+    def price(said, words):  # of the text that was chosen, by what each of its words was
+        text, ends, at, cost = "".join(words), set(np.cumsum([len(w) for w in words]).tolist()), 0, 0.0
+        for w in said.split():
+            q = min((q for q in range(at + 1, len(text) + 1) if text[at:q] == w or (LEXICON.read(text[at:q]) or "")[:1] == (w,)), key=lambda q: abs(q - at - len(w)))
+            cost += scans._cost(text[at:q], LEXICON.read(text[at:q]), LEXICON.total) + scans.MERGED * sum(at < e < q for e in ends) + scans.SPLIT * (q not in ends)
+            at = q
+        return cost
+
+    rng = random.Random(7)
+    for _ in range(300):
+        text = " ".join(rng.choice([*LEXICON.counts, "zaxeloqide"]) for _ in range(4))
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(1, len(text))
+            text = rng.choice([text[:k] + " " + text[k:], text[:k].rstrip(" ") + text[k:].lstrip(" "), text.replace("e", "c", 1), text.replace("m", "rn", 1)])
+        words = text.split()
+        assert price(scans.repair(text, LEXICON)[1], words) == pytest.approx(cheapest(words)), text
+
+
+def test_long_unknown_stretches():
+    text = "qzx" * 5000 + " " + " ".join(["zqvk"] * 3000)
+    assert scans.repair(text, LEXICON) == (set(), text)
+    assert scans.repair("-\n".join(["zqvk"] * 2000) + " wedge-\nshaped ro-\nt-\nor", LEXICON) == ({"hyphen"}, "zqvk" * 2000 + " wedge-shaped rotor")
+
+
 def test_keys_of_misreadings_agree(spark):
     rng = random.Random(13)
     for seen, meant in scans.CONFUSIONS.items():
