@@ -1,6 +1,6 @@
 """Evaluation texts in a corpus: latent semantic retrieval of passages, then exact, subsequence and answer checks.
 
-Passages of the corpus span a TF-IDF space; a randomised SVD of it is computed distributed, on a sample of bounded size.  The
+Passages of the corpus span a TF-IDF space; a randomised SVD of it is computed distributed, over all distinct texts.  The
 items' passages are projected and indexed, all documents' passages are projected and looked up.  Verbatim leaks are
 candidates of cosine 1: equal passages have equal projections, so no cut of the space can lose one.  Paraphrases are
 candidates of a lower cosine, checked by longest common subsequence and by the words an item can't do without.
@@ -97,23 +97,24 @@ def _gram_product(corpus: DataFrame, vocabulary, width: int, basis, passage: int
         vocab, base = vocabulary.value, basis.value
         get = vocab.lookup() if isinstance(vocab, _HashedVocabulary) else vocab
         total, df = np.zeros((len(vocab), width)), np.zeros(len(vocab))
-        for b in batches:
-            ids, owner = word_ids(b.column(0).to_pylist(), get)
+        for part in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+            ids, owner = word_ids(part.column(0).to_pylist(), get)
             if not len(ids):
                 continue
-            terms, number = _passages(ids, owner, passage)
-            if not len(terms):
-                continue
-            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-            sums = np.add.reduceat(base[terms], starts)
-            row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(number)]))
-            # By term: its passages lie together, in order, so both its frequency and its sum are runs.
-            order = np.argsort(terms.astype(np.uint16) if len(vocab) < 1 << 16 else terms, kind="stable")
-            term, row = terms[order], row[order]
-            runs = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            new = np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]
-            df[term[runs]] += np.add.reduceat(new.astype(np.int64), runs)
-            total[term[runs]] += np.add.reduceat(sums[row], runs)
+            every, number_of = _passages(ids, owner, passage)
+            first = np.flatnonzero(np.r_[True, number_of[1:] != number_of[:-1]])
+            for at, end in ((first[k], first[k + 1024] if k + 1024 < len(first) else len(every)) for k in range(0, len(first) if len(every) else 0, 1024)):
+                terms, number = every[at:end], number_of[at:end]
+                starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+                sums = np.add.reduceat(base[terms], starts)
+                row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(number)]))
+                # By term: its passages lie together, in order, so both its frequency and its sum are runs.
+                order = np.argsort(terms.astype(np.uint16) if len(vocab) <= 1 << 16 else terms, kind="stable")
+                term, row = terms[order], row[order]
+                runs = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+                new = np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]
+                df[term[runs]] += np.add.reduceat(new.astype(np.int64), runs)
+                total[term[runs]] += np.add.reduceat(sums[row], runs)
         used = np.flatnonzero(df)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used]), *[pa.array(total[used, i]) for i in range(width)]], names=["term", "df", *[f"v{i}" for i in range(width)]])
@@ -156,10 +157,11 @@ def windows(ids: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(unknown[size:] == unknown[:-size])
 
 
-def sampled(texts: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` of the texts, chosen by their hash, equal ones once: what the space is fitted on."""
-    n = texts.count()
-    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))).select("text").distinct()
+def fitted(texts: DataFrame, sample: int | None = None) -> DataFrame:
+    """What the space is fitted on, equal texts once: all of them, or about ``sample`` chosen by their hash where a caller asks for that."""
+    if sample is not None:
+        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, texts.count())) * (1 << 30)))
+    return texts.select("text").distinct()
 
 
 class _Buckets(dict):
@@ -228,17 +230,17 @@ def _runs(id_name: str, size: int, shared, filtered=None):
     return run
 
 
-def verbatim(corpus: DataFrame, items: DataFrame, run_words: int = 12, rank: int = 8, sample: int = 10_000) -> DataFrame:
+def verbatim(corpus: DataFrame, items: DataFrame, run_words: int = 12, rank: int = 8, sample: int | None = None) -> DataFrame:
     """(doc_id, item_id) of documents that have ``run_words`` or more consecutive words of an item.
 
     Runs of that many words are candidates where their projections are equal.  The items' runs are a table by the key of their
     projection, and a filter of fixed size over these keys is broadcast: one pass over the corpus projects every run and
-    sends on those that pass, which are joined with the table and compared word by word.  The space is fitted on about ``sample`` texts;
-    no run is lost whatever it is.  Null, empty and shorter texts give nothing; whole texts are searched; repeated rows count once.
+    sends on those that pass, which are joined with the table and compared word by word.  The space is fitted on all distinct texts
+    (on about ``sample`` of them where that is given); no run is lost whatever it is.  Null, empty and shorter texts give nothing; whole texts are searched; repeated rows count once.
     """
     sc = corpus.sparkSession.sparkContext
     texts = corpus.select("doc_id", "text").filter("text IS NOT NULL")
-    space, _ = latent_space(sampled(texts.select("text"), sample), _HashedVocabulary(), rank)
+    space, _ = latent_space(fitted(texts, sample), _HashedVocabulary(), rank)
     shared = sc.broadcast(np.round(space / max(np.abs(space).max(), 1e-300) * UNIT).astype(np.int64))
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     index = stage(asked.mapInArrow(_runs("item_id", run_words, shared), "item_id long, key long, run string").distinct())
@@ -324,18 +326,19 @@ def answered(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
     return there / np.maximum((keys >= 0).sum(axis=1), 1)
 
 
-def paraphrased(corpus: DataFrame, items: DataFrame, cosine: float = 0.6, common: float = 0.75, answer: float = 1 / 3, size: int = 24, rank: int = 128, sample: int = 10_000, max_chars: int = 4_000_000) -> DataFrame:
+def paraphrased(corpus: DataFrame, items: DataFrame, cosine: float = 0.6, common: float = 0.75, answer: float = 1 / 3, size: int = 24, rank: int = 128, sample: int | None = None, max_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, overlap) of documents with a passage close to an item's though not verbatim.
 
     Passages are windows of ``size`` words: the documents' at every word, the items' every ``size`` / 6 words and at their
     end; a shorter text is one window.  Candidates have at least ``cosine``; one counts where the longest common subsequence
     of a window of the item, at any word up to ``size`` / 6 from the candidate's, and the document's (with half a window on
     either side) covers ``common`` of the item's window, and where the passage has at least the share ``answer`` of the window's
-    key words (its numbers and rarest words).  overlap is the largest such cover.  The items are the stated query set: they are
+    key words (its numbers and rarest words).  The space is fitted on all distinct texts (on about ``sample`` of them where that
+    is given).  overlap is the largest such cover.  The items are the stated query set: they are
     held against all rows in blocks of ``max_chars``, and in products of at most 1024 by 4096 windows.
     """
     texts = spread(corpus.select("doc_id", "text").filter("text IS NOT NULL"))
-    fitted = sampled(texts.select("text"), sample)
+    basis = fitted(texts, sample)
     found = None
     step = max(1, size // 6)
     kind = corpus.schema["doc_id"].dataType.simpleString()
@@ -343,7 +346,7 @@ def paraphrased(corpus: DataFrame, items: DataFrame, cosine: float = 0.6, common
         if not len(block.words):
             continue
         lengths = np.diff(np.r_[block.starts, len(block.words)])
-        space, idf = latent_space(fitted, block.vocabulary, rank)
+        space, idf = latent_space(basis, block.vocabulary, rank)
         numbers = np.array([any(map(str.isdigit, w)) for w in block.vocabulary])
         groups = []  # items of a length under ``size`` have windows of their own length
         for n in np.unique(np.minimum(lengths, size))[::-1]:

@@ -484,6 +484,36 @@ def test_paraphrases_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 2
 
 
+@pytest.mark.parametrize("operator", [leak.verbatim, leak.paraphrased])
+def test_space_counts_all_texts(spark, monkeypatch, operator):
+    texts = [f"alpha w{i} w{i % 7} beta" for i in range(12_000)]
+    made = []
+    fit = leak.latent_space
+    monkeypatch.setattr(leak, "latent_space", lambda corpus, words, rank: made.append((words, fit(corpus, words, rank)[1])) or fit(corpus, words, rank))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:500], None])], "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "alpha w3 w11 beta gamma")], "item_id long, text string")
+    operator(df, qs).count()
+    words, idf = made[0]
+    get = words.lookup().__getitem__ if isinstance(words, leak._HashedVocabulary) else words.get
+    df = np.zeros(len(words))
+    for t in texts:  # each is one passage, repeated ones count once
+        for w in {get(w) for w in leak.words_of(t)} - {None}:
+            df[w] += 1
+    assert idf == pytest.approx(np.log1p(1 / ((df + 1) / (df.sum() + 1))))
+
+
+def test_products_of_long_texts_in_parts(spark):
+    words = {f"w{i}": i for i in range(5)}
+    rng = random.Random(4)
+    text = " ".join(rng.choice([*words, "other"]) for _ in range(4 * 1500))
+    basis = np.random.default_rng(1).standard_normal((5, 3))
+    share = spark.sparkContext.broadcast
+    product, df = leak._gram_product(spark.createDataFrame([(text,), ("",), ("other",)], "text string"), share(words), 3, share(basis), 4)
+    cut = [text.split()[i : i + 4] for i in range(0, 4 * 1500, 4)]
+    a = np.array([[p.count(w) for w in words] for p in cut], float)
+    assert product == pytest.approx(a.T @ (a @ basis)) and df.tolist() == (a > 0).sum(axis=0).tolist()
+
+
 # 10: quality
 
 
